@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -39,6 +39,11 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once, also where lambdas inside body use it many times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stage_dir(spark: SparkSession) -> str:
     """A new folder in the shared place the cluster names in spark.checkpoint.dir.
 

@@ -36,13 +36,14 @@ DEPTH = 150
 
 
 class Node:
-    __slots__ = ("tag", "labels", "kids", "shape", "slot", "texts")
+    __slots__ = ("tag", "labels", "kids", "shape", "slot", "texts", "pages")
 
     def __init__(self, tag: str, labels: frozenset = frozenset()):
         self.tag, self.labels = tag, labels
         self.kids: list = []
         self.shape = self.slot = None
         self.texts: set | None = None
+        self.pages: set | None = None
 
     def elements(self) -> list[Node]:
         return [k for k in self.kids if k.__class__ is Node]
@@ -150,19 +151,19 @@ def align(a: Node, b: Node, pairs: list) -> int:
     return score + best[-1][-1]
 
 
-def induce(trees: list[Node]) -> None:
-    """Aligns all trees with the largest one and collects the texts of its nodes."""
+def induce(trees: list[Node], names: list[int]) -> None:
+    """Aligns all trees with the largest one; its nodes collect their texts and the pages (by name) they stand on."""
     for t in trees:
         shape(t)
     wrapper = max(trees, key=lambda t: len(t.kids[-1].kids) if t.kids and t.kids[-1].__class__ is Node else 0)
-    for tree in trees:
+    for tree, name in zip(trees, names):
         pairs: list = []
         align(wrapper, tree, pairs)
         for slot, node in pairs:
             if slot.texts is None:
-                slot.texts = set()
-            text = own_text(node)
-            slot.texts.add(hash(text) if text else 0)
+                slot.texts, slot.pages = set(), set()
+            slot.texts.add(own_text(node))
+            slot.pages.add(name)
             node.slot = slot
 
 
@@ -172,7 +173,7 @@ def boilerplate(node: Node, inside: bool) -> bool:
 
 def template(node: Node, pages: int) -> bool:
     """The node stands on all distinct pages of its group with the same text."""
-    return pages > 1 and node.slot is not None and len(node.slot.texts) == 1
+    return pages > 1 and node.slot is not None and len(node.slot.texts) == 1 and len(node.slot.pages) == pages
 
 
 def mass(node: Node, pages: int, cache: dict) -> int:
@@ -232,9 +233,10 @@ def blocks(node: Node, pages: int, marked: bool, out: list[list[str]]) -> None:
 def texts_of(group: list[str]) -> list[str]:
     """The main text of each page of one host."""
     trees = [parse(p) for p in group]
-    different = len(set(group))
+    first = {p: i for i, p in reversed(list(enumerate(group)))}
+    different = len(first)
     if different > 1:
-        induce(trees)
+        induce(trees, [first[p] for p in group])
     result = []
     for tree in trees:
         roots, marked = content_roots(tree, different)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import let
+
 #: Fixed patterns of the base kinds, in their order: kind, pattern, group whose length counts, least length, test worth making first.
 BASE = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
@@ -24,14 +26,21 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
-def running_sums(lengths: Column, n: Column) -> Column:
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
+
+
+def running_sums(lengths: Column) -> Column:
     """Sums of all earlier items, for each item; blocks keep the work below n * sqrt(n)."""
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
-    block = F.ceil(F.sqrt(n)).cast("int")
-    sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda k: total(F.slice(lengths, k * block + 1, block)))
-    before = F.transform(sums, lambda x, k: total(F.slice(sums, F.lit(1), k)))
-    whole = lambda i: F.floor(i / block).cast("int")
-    return F.transform(lengths, lambda x, i: F.get(before, whole(i)) + total(F.slice(lengths, whole(i) * block + 1, i - whole(i) * block)))
+
+    def blocks(numbers: Column, size: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / size).cast("int")), lambda k: total(F.slice(numbers, k * size + 1, size)))
+        return let(sums, lambda s: F.transform(s, lambda x, k: total(F.slice(s, F.lit(1), k))))
+
+    def all_(numbers: Column, size: Column) -> Column:
+        return let(blocks(numbers, size), lambda before: F.transform(numbers, lambda x, i: F.get(before, F.floor(i / size).cast("int")) + total(F.slice(numbers, i - i % size + 1, i % size))))
+
+    return let(lengths, lambda numbers: let(F.greatest(F.ceil(F.sqrt(F.size(numbers))).cast("int"), F.lit(1)), lambda size: all_(numbers, size)))
 
 
 def spans_of(text: Column, pattern: str, group: int, kind: int, hint: str) -> Column:
@@ -40,13 +49,16 @@ def spans_of(text: Column, pattern: str, group: int, kind: int, hint: str) -> Co
     Splitting by the pattern gives what lies between the matches; the lengths of
     both add up to the places. Texts without the hint are not split.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    pairs = F.arrays_zip(F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("len"), values.alias("value"))
-    pairs = pairs.cast("array<struct<gap:int,len:int,value:string>>")
-    steps = F.transform(pairs, lambda x: x["gap"] + x["len"])
-    out = F.transform(F.arrays_zip(pairs.alias("p"), running_sums(steps, F.size(steps)).alias("s")), lambda x: F.struct((x["s"] + x["p"]["gap"]).alias("start"), F.lit(kind).alias("kind"), (x["s"] + x["p"]["gap"] + x["p"]["len"]).alias("end"), x["p"]["value"].alias("value")))
-    return F.when(text.rlike(hint), out).otherwise(F.array().cast(f"array<{SPAN}>")).cast(f"array<{SPAN}>")
+    pick = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+    lengths = F.transform(F.split(text, pattern, -1), F.length)
+    pairs = F.arrays_zip(lengths.alias("gap"), F.transform(pick(0), F.length).alias("len"), pick(group).alias("value")).cast("array<struct<gap:int,len:int,value:string>>")
+    pairs = F.filter(pairs, lambda x: x["len"].isNotNull())
+
+    def place_all(found: Column) -> Column:
+        sums = running_sums(F.transform(found, lambda x: x["gap"] + x["len"]))
+        return let(sums, lambda s: F.transform(found, lambda x, i: F.struct((F.get(s, i) + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (F.get(s, i) + x["gap"] + x["len"]).alias("end"), x["value"].alias("value"))))
+
+    return F.when(text.rlike(hint), let(pairs, place_all)).otherwise(F.array().cast(f"array<{SPAN}>")).cast(f"array<{SPAN}>")
 
 
 def base_spans(df: DataFrame, text: str) -> DataFrame:
@@ -63,7 +75,7 @@ def place(character: Column) -> Column:
 def pairs_of(value: Column) -> Column:
     """Numbers of the neighbouring character pairs of a string."""
     at = F.transform(F.split(value, ""), place)
-    return F.transform(F.slice(at, F.lit(1), F.greatest(F.length(value) - 1, F.lit(0))), lambda c, i: c * SIZE + F.get(at, i + 1))
+    return let(at, lambda p: F.transform(F.slice(p, F.lit(1), F.greatest(F.length(value) - 1, F.lit(0))), lambda c, i: c * SIZE + F.get(p, i + 1)))
 
 
 def train(labelled: DataFrame, value: str = "value", secret: str = "secret") -> list[int]:
