@@ -61,10 +61,15 @@ def spans_of(text: Column, pattern: str, group: int, kind: int, hint: str) -> Co
     return F.when(text.rlike(hint), let(pairs, place_all)).otherwise(F.array().cast(f"array<{SPAN}>")).cast(f"array<{SPAN}>")
 
 
+def at_least(spans: Column, least: int) -> Column:
+    return F.filter(spans, lambda x: F.length(x["value"]) >= least)
+
+
 def base_spans(df: DataFrame, text: str) -> DataFrame:
     """df with a column bw_<kind> for each base kind, failing matches dropped."""
     for i, (kind, pattern, group, least, hint) in enumerate(BASE):
-        df = df.withColumn(f"bw_{kind}", F.filter(spans_of(F.col(text), pattern, group, i, hint), lambda x, least=least: F.length(x["value"]) >= least))
+        spans = spans_of(F.col(text), pattern, group, i, hint)
+        df = df.withColumn(f"bw_{kind}", at_least(spans, least))
     return df
 
 
