@@ -5,12 +5,8 @@ first scatters the shingles, the second is shifted circularly by k for the k-th
 coordinate. Bands of the signature name buckets. Documents with equal shingle
 sets are one class from the start, and only one document of each class goes on.
 
-Inside a bucket no pairs are listed. Every member is compared with the bucket's
-first member only; links join components; then the first member changes, by
-another order of all documents, and only members of other components are
-compared. When few pairs of different components are left in common buckets,
-those are compared one by one, so that no link between buckets' members is
-lost. Every link is confirmed on the full shingle sets.
+Buckets are gone through as blocking.py says, without listing their pairs, and
+every link is confirmed on the full shingle sets.
 
 A pair is looked at if it shares two of 40 bands of 5: of pairs at the
 threshold of 0.8 fewer than 3 in a million share less.
@@ -18,16 +14,15 @@ threshold of 0.8 fewer than 3 in a million share less.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from .blocking import Links, link_in_buckets, shared_buckets
 from .common import map_batches, materialize, stage_dir
-from .graph import components
 
 BANDS, ROWS = 40, 5
 #: Multipliers of the splitmix64 finalizer, and the golden-ratio increment.
@@ -137,64 +132,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, chunk: int
     return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), schema, make)
 
 
-class Links:
-    """Confirms candidate pairs on full sets, fetching only texts of candidates."""
+def set_test(size: int, percent: int):
+    """prepare and alike for Links: Jaccard similarity of whole shingle sets."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, at: str, broadcast_ids: int = 500_000):
-        self.docs = docs.select(F.col(id_col).cast("long").alias("bw_id"), F.col(text_col).cast("string").alias("bw_text"))
-        self.spark, self.size, self.percent, self.at, self.broadcast_ids = docs.sparkSession, size, percent, at, broadcast_ids
-
-    def payload(self, pairs: DataFrame, name: str) -> DataFrame:
-        """bw_id and compressed text of the documents in pairs, one row an id.
-
-        The ids are broadcast up to broadcast_ids of them, which is checked;
-        beyond that the documents are shuffled to them.
-        """
-        ids = materialize(self.spark, pairs.select(F.col("x").alias("bw_id")).unionAll(pairs.select(F.col("y").alias("bw_id"))).distinct(), self.at, f"{name}-ids")
-        wanted = F.broadcast(ids) if ids.count() <= self.broadcast_ids else ids
-        schema = StructType([StructField("bw_id", LongType()), StructField("z", BinaryType())])
-
-        def make():
-            import zstandard
-
-            press = zstandard.ZstdCompressor(level=3)
-            return lambda batch: [batch.column(0), [press.compress((t or "").encode("utf-8", "surrogatepass").translate(LOWER)) for t in batch.column(1).to_pylist()]]
-
-        return materialize(self.spark, map_batches(self.docs.join(wanted, "bw_id", "left_semi"), schema, make).dropDuplicates(["bw_id"]), self.at, f"{name}-texts")
-
-    def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Of pairs (x, y), those with 100 * intersection >= percent * union."""
-        if pairs.isEmpty():
-            return pairs
-        texts = self.payload(pairs, name)
-        joined = pairs.join(texts.select(F.col("bw_id").alias("x"), F.col("z").alias("zx")), "x").join(texts.select(F.col("bw_id").alias("y"), F.col("z").alias("zy")), "y")
-        size, percent = self.size, self.percent
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import zstandard
-
-            shingler, unpress = Shingler(size), zstandard.ZstdDecompressor()
-            read = lambda z: shingler.shingles(unpress.decompress(z).decode("utf-8", "surrogatepass"))
-            last, held = None, None
-            for batch in batches:
-                found = []
-                x, y, zx, zy = (batch.column(i) for i in range(4))
-                xs, ys = x.to_pylist(), y.to_pylist()
-                for i in range(batch.num_rows):
-                    if ys[i] != last:
-                        last, held = ys[i], read(zy[i].as_py())
-                    other = read(zx[i].as_py())
-                    common = len(np.intersect1d(held, other, assume_unique=True))
-                    if 100 * common >= percent * (len(held) + len(other) - common):
-                        found.append((xs[i], ys[i]))
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["x", "y"])
-
-        return materialize(self.spark, joined.select("x", "y", "zx", "zy").mapInArrow(run, "x long, y long"), self.at, f"{name}-links")
+    def make():
+        def alike(a: np.ndarray, b: np.ndarray) -> bool:
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            return 100 * common >= percent * (len(a) + len(b) - common)
 
+        return Shingler(size).shingles, alike
 
-def twice(pairs: DataFrame) -> DataFrame:
-    """Pairs (x, y) that stand in two buckets or more."""
-    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("x", "y")
+    return make
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
@@ -212,41 +160,10 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int
     own = materialize(spark, sketches(docs, id_col, text_col, size), at, "sketches")
     named = own.where("bw_id IS NOT NULL AND bw_set IS NOT NULL")
     classes = materialize(spark, named.groupBy("bw_set").agg(F.min("bw_id").alias("id"), F.first("bw_n").alias("n"), F.first("bw_bands").alias("bands")), at, "classes")
-    exploded = classes.select(F.explode("bands").alias("bucket"), "id", "n")
-    shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket")
-    shared = materialize(spark, shared, at, "shared")
-    buckets = materialize(spark, exploded.join(shared, "bucket"), at, "buckets-0")
-    links = Links(docs, id_col, text_col, size, percent, at)
+    buckets = shared_buckets(classes.select(F.explode("bands").alias("bucket"), "id", "n"), at)
+    texts = docs.select(F.col(id_col).cast("long").alias("bw_id"), F.col(text_col).cast("string").alias("bw_text"))
     fits = F.expr(f"100 * least(n, m) >= {int(percent)} * greatest(n, m)")
-    edges, comps, k = None, None, 0
-    while True:
-        # members of buckets that still hold two components
-        if comps is not None:
-            placed = buckets.drop("comp").join(comps.select(F.col("node").alias("id"), F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            placed = materialize(spark, placed, at, f"placed-{k}")
-            sizes = placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-            open_ = materialize(spark, sizes, at, f"open-{k}")
-            buckets = materialize(spark, placed.join(open_.select("bucket"), "bucket"), at, f"buckets-{k}")
-            left = open_.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("sq")) / 2)).first()
-            if not left[0]:
-                break
-            if k >= rounds or left[1] <= 4 * left[0]:
-                a = buckets.select("bucket", F.col("id").alias("x"), "n", "comp")
-                b = buckets.select("bucket", F.col("id").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp_y"))
-                rest = twice(a.join(b, "bucket").where("x > y AND comp <> comp_y").where(fits))
-                found = links.confirm(materialize(spark, rest, at, "rest"), "rest")
-                edges = found if edges is None else edges.unionAll(found)
-                comps = materialize(spark, components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))), at, "components-rest")
-                break
-        else:
-            buckets = buckets.withColumn("comp", F.col("id"))
-        order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))
-        leaders = materialize(spark, buckets.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "n", "comp")).alias("l")).select("bucket", F.col("l.id").alias("y"), F.col("l.n").alias("m"), F.col("l.comp").alias("comp_y")), at, f"leaders-{k}")
-        pairs = twice(buckets.join(leaders, "bucket").where("id <> y AND comp <> comp_y").where(fits).select(F.col("id").alias("x"), "y"))
-        found = links.confirm(materialize(spark, pairs, at, f"pairs-{k}"), f"round-{k}")
-        edges = found if edges is None else edges.unionAll(found)
-        comps = materialize(spark, components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))), at, f"components-{k}")
-        k += 1
+    comps = link_in_buckets(buckets, fits, Links(texts, set_test(size, percent), at), least_shared=2, rounds=rounds, at=at)
     reached = classes.select("bw_set", "id").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("bw_set", F.coalesce("component", "id").alias("bw_component"))
     reached = materialize(spark, reached, at, "reached")
     joined = own.select("bw_id", "bw_n", "bw_set").join(reached, "bw_set", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, minhash, quality, secrets, token_counts, urls
+from . import decontaminate, html, lines, minhash, pieces, pii, quality, secrets, token_counts, urls
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op3_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, secrets.train(secrets.labelled_sample(docs)))
@@ -44,5 +48,31 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_near_duplicates, op4_secret_scan, op5_url_filter, op6_html_text, op7_quality_rules, op8_decontamination)}
+#: Stands for a key that a deployment keeps secret.
+PSEUDONYM_KEY = b"example key of the test queries"
+
+
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_near_duplicates,
+        op3_sampled_pieces,
+        op4_secret_scan,
+        op5_url_filter,
+        op6_html_text,
+        op7_quality_rules,
+        op8_decontamination,
+        op9_pseudonyms,
+        op10_line_dedup,
+    )
+}
 ORACLE: dict[str, str] = {}

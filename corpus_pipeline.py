@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockweave.llm import quality
+from blockweave.llm import decontaminate, lines, minhash, pieces, quality
+from blockweave.llm.common import materialize, stage_dir, table
+from blockweave.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +14,40 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line of the corpus, up to two edits, are cut out."""
+    return lines.dedup_lines(docs).drop("bw_dropped")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, 0.8) the smallest id stays."""
+    return minhash.keep_one(docs, size=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents mostly made of them go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and sampled pieces of what is left."""
+    return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("sentencepiece", sentencepiece),
+]
+#: Sampling and the similarity joins are not expressed in SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from blockweave.llm.common import materialize, stage_dir
-
-    docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), stage_dir(spark)
+    """All stages over documents; the rows of the last."""
+    docs, at = table(spark, sf_dir, "documents"), stage_dir(spark)
     for name, stage in STAGES[:-1]:
         docs = materialize(spark, stage(spark, docs, sf_dir), at, name)
     return STAGES[-1][1](spark, docs, sf_dir)
