@@ -6,6 +6,7 @@ may be alike, and a test on the whole texts confirms it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ class Links:
         self.spark = texts.sparkSession
 
     def payload(self, pairs: DataFrame, name: str) -> DataFrame:
-        """bw_id and compressed text of the rows in pairs, one row an id.
+        """bw_id and compressed text of the rows in pairs.
 
         The ids are broadcast up to broadcast_ids of them, which is checked;
         beyond that the texts are shuffled to them.
@@ -45,7 +46,7 @@ class Links:
             return lambda batch: [batch.column(0), [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]]
 
         packed = map_batches(self.texts.join(wanted, "bw_id", "left_semi"), schema, make)
-        return materialize(self.spark, packed.dropDuplicates(["bw_id"]), self.at, f"{name}-texts")
+        return materialize(self.spark, packed, self.at, f"{name}-texts")
 
     def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (x, y) that are alike."""
@@ -75,6 +76,26 @@ class Links:
         return materialize(self.spark, joined.select("x", "y", "zx", "zy").mapInArrow(run, "x long, y long"), self.at, f"{name}-links")
 
 
+#: Each bucket of a row has a code of CODE_BITS bits in a lane of 16; four lanes make a long.
+CODE_BITS = 14
+
+
+def pack_codes(numbers: list[Column]) -> Column:
+    """An array of longs with the low bits of the numbers, one lane each."""
+    lane = lambda k, x: F.shiftleft(x.bitwiseAND((1 << CODE_BITS) - 1), 16 * k)
+    return F.array(*[functools.reduce(Column.bitwiseOR, [lane(k, x) for k, x in enumerate(numbers[i : i + 4])]) for i in range(0, len(numbers), 4)])
+
+
+def equal_codes(a: Column, b: Column, n: int) -> Column:
+    """How many of n lanes two arrays of codes have in common."""
+    different = F.lit(0)
+    for i in range(-(-n // 4)):
+        # the sum carries into the bit above a lane's code exactly where the codes differ
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) + 0x3FFF3FFF3FFF3FFF
+        different = different + F.bit_count(x.bitwiseAND(0x4000400040004000))
+    return n - different
+
+
 def shared_buckets(rows: DataFrame, at: str, distinct: bool = False, broadcast_buckets: int = 500_000) -> DataFrame:
     """The rows (bucket, id, n) whose bucket holds another id, each once.
 
@@ -91,7 +112,7 @@ def shared_buckets(rows: DataFrame, at: str, distinct: bool = False, broadcast_b
     return materialize(spark, found.distinct() if distinct else found, at, "buckets")
 
 
-def link_in_buckets(buckets: DataFrame, fits: Column, links: Links, least_shared: int, rounds: int, at: str) -> DataFrame:
+def link_in_buckets(buckets: DataFrame, fits: Column, links: Links, least_shared: int, rounds: int, at: str, codes: DataFrame | None = None, n_codes: int = 0) -> DataFrame:
     """node, component: the components of all confirmed links inside buckets (bucket, id, n).
 
     fits tells from the sizes n and m whether a pair can be alike at all; a
@@ -101,7 +122,9 @@ def link_in_buckets(buckets: DataFrame, fits: Column, links: Links, least_shared
     changes, and buckets inside one component are done. Once the pairs between
     components are no more than a few times the rows, or after the rounds, all
     pairs of different components that share buckets are compared, so that no
-    link is lost.
+    link is lost. codes (id, codes) has the n_codes packed codes of a row's
+    buckets: with it, pairs that share one bucket by chance are dropped
+    inside that join and not listed.
     """
     spark = buckets.sparkSession
 
@@ -124,9 +147,12 @@ def link_in_buckets(buckets: DataFrame, fits: Column, links: Links, least_shared
                 return comps
             now = materialize(spark, placed.join(mixed.select("bucket"), "bucket"), at, f"buckets-{k}")
             if k >= rounds or pairs <= 4 * rows:
-                a = now.select("bucket", F.col("id").alias("x"), "n", "comp")
-                b = now.select("bucket", F.col("id").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp_y"))
-                rest = enough(a.join(b, "bucket").where("x > y AND comp <> comp_y").where(fits).select("x", "y"))
+                both = now if codes is None else materialize(spark, now.join(codes, "id"), at, "coded")
+                own = [] if codes is None else [F.col("codes").alias("cx")], [] if codes is None else [F.col("codes").alias("cy")]
+                a = both.select("bucket", F.col("id").alias("x"), "n", "comp", *own[0])
+                b = both.select("bucket", F.col("id").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp_y"), *own[1])
+                chance = F.lit(True) if codes is None else equal_codes(F.col("cx"), F.col("cy"), n_codes) >= least_shared
+                rest = enough(a.join(b, "bucket").where("x > y AND comp <> comp_y").where(fits).where(chance).select("x", "y"))
                 found = links.confirm(materialize(spark, rest, at, "rest"), "rest")
                 return joined(edges.unionAll(found), "rest")
         order = F.col("id") if k == 0 else F.xxhash64("id", F.lit(k))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .blocking import Links, link_in_buckets, shared_buckets
+from .blocking import Links, link_in_buckets, pack_codes, shared_buckets
 from .common import map_batches, materialize, stage_dir
 
 BANDS, ROWS = 40, 5
@@ -145,7 +145,7 @@ def set_test(size: int, percent: int):
     return make
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 5, percent: int = 80, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """id_col, n_shingles, component_id, kept for every row of docs.
 
     Documents are linked where their sets of distinct word shingles (size
@@ -161,9 +161,10 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int
     named = own.where("bw_id IS NOT NULL AND bw_set IS NOT NULL")
     classes = materialize(spark, named.groupBy("bw_set").agg(F.min("bw_id").alias("id"), F.first("bw_n").alias("n"), F.first("bw_bands").alias("bands")), at, "classes")
     buckets = shared_buckets(classes.select(F.explode("bands").alias("bucket"), "id", "n"), at)
+    codes = classes.select("id", pack_codes([F.get("bands", F.lit(k)) for k in range(BANDS)]).alias("codes"))
     texts = docs.select(F.col(id_col).cast("long").alias("bw_id"), F.col(text_col).cast("string").alias("bw_text"))
     fits = F.expr(f"100 * least(n, m) >= {int(percent)} * greatest(n, m)")
-    comps = link_in_buckets(buckets, fits, Links(texts, set_test(size, percent), at), least_shared=2, rounds=rounds, at=at)
+    comps = link_in_buckets(buckets, fits, Links(texts, set_test(size, percent), at), least_shared=2, rounds=rounds, at=at, codes=codes, n_codes=BANDS)
     reached = classes.select("bw_set", "id").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("bw_set", F.coalesce("component", "id").alias("bw_component"))
     reached = materialize(spark, reached, at, "reached")
     joined = own.select("bw_id", "bw_n", "bw_set").join(reached, "bw_set", "left")
