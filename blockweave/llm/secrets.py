@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import let
+from .common import let, materialize, stage_dir
 
 #: Fixed patterns of the base kinds, in their order: kind, pattern, group whose length counts, least length, test worth making first.
 BASE = (
@@ -117,7 +117,10 @@ def labelled_sample(docs: DataFrame, id_col="doc_id", text_col="text", sample_do
     is bounded: the sample_docs documents smallest by hash of id.
     """
     spark = docs.sparkSession
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).where("body IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body")).where("body IS NOT NULL")
+    # only ids are sorted and broadcast, at most sample_docs of them
+    ids = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    some = materialize(spark, rows.join(F.broadcast(ids), "id", "left_semi"), stage_dir(spark), "sample")
     some = base_spans(some, "body")
     secrets = some.select(F.explode(F.concat(*[F.col(f"bw_{k[0]}") for k in BASE])).alias("x")).select("x.value")
     digest = F.sha2(F.col("id").cast("string"), 256)
