@@ -61,6 +61,8 @@ def base_counts(docs: DataFrame, id_col="doc_id", text_col="text", keep: tuple[s
         (F.size("bw_lines") - F.size(F.array_distinct("bw_lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(gaps, F.lit(0), lambda a, b: a + b).cast("long").alias("n_repeat_words"),
         F.size("bw_lines").cast("long").alias("bw_n_lines"),
+        # filters on what is counted here must not move below it, where they would count again for every use
+        F.spark_partition_id().alias("bw_part"),
     )
 
 
@@ -88,7 +90,7 @@ def sketches(judged: DataFrame, groups: list[str]) -> DataFrame:
     metric however many documents there are.
     """
     pairs = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(f"bw_{m}")).alias("bucket")) for m in RULES]))
-    return judged.where("NOT base_failed").select(*groups, pairs).groupBy(*groups, "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return judged.where("NOT base_failed AND bw_part >= 0").select(*groups, pairs).groupBy(*groups, "metric", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def thresholds(sketch: DataFrame, groups: list[str]) -> DataFrame:
@@ -164,5 +166,5 @@ def quality(docs: DataFrame, id_col="doc_id", **columns) -> DataFrame:
 def keep_good(docs: DataFrame, **columns) -> DataFrame:
     """The rows of docs that judge() keeps, with the columns they came with."""
     packed = docs.withColumn("bw_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = judge(packed, keep=("bw_row",), store_counts=False, **columns).where("kept")
+    kept = judge(packed, keep=("bw_row",), store_counts=False, **columns).where("kept AND bw_part >= 0")
     return kept.select(*[F.col(f"bw_row.`{c}`").alias(c) for c in docs.columns])

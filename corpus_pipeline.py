@@ -15,8 +15,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line of the corpus, up to two edits, are cut out."""
-    return lines.dedup_lines(docs).drop("bw_dropped")
+    """Lines that repeat an earlier line of the corpus, up to two edits, are cut out; documents left empty by that go."""
+    out = lines.dedup_lines(docs)
+    return out.where("bw_dropped = 0 OR btrim(text) <> ''").drop("bw_dropped")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
