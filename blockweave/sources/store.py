@@ -5,7 +5,7 @@ Layout below the root, all on the cluster's own file system:
     data/<attempt>/segments     file_id, blk_idx, kind, data
     data/<attempt>/truncations  file_id, from_blk
     data/<attempt>/inodes       file_id, size, mode, uid, gid, nlink, deleted
-    commits/<cno, ten digits>   JSON: attempt, base, token
+    commits/<cno, ten digits>   JSON: attempt, base, token, at (seconds)
 
 A commit file is made by exclusive creation and is what makes an attempt
 visible; object stores need a conditional put in its place. A writer that
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from ..functions import modes
+from ..operators import batch, control, fold
 from ..operators import blocks as B
-from ..operators import control, fold
 
 SEGMENTS = StructType([StructField("file_id", LongType()), StructField("blk_idx", LongType()), StructField("kind", StringType()), StructField("data", BinaryType())])
 TRUNCATIONS = StructType([StructField("file_id", LongType()), StructField("from_blk", LongType())])
@@ -158,7 +158,7 @@ class BlockStore:
     def _commit(self, base: int, token: str, write: Callable[[str], None]) -> int | None:
         attempt = f"{base + 1:010d}-{uuid.uuid4().hex}"
         write(f"{self.root}/data/{attempt}")
-        done = json.dumps({"attempt": attempt, "base": base, "token": token})
+        done = json.dumps({"attempt": attempt, "base": base, "token": token, "at": time.time()})
         self._create(f"{self.root}/data/{attempt}/_done", done)
         return base + 1 if self._create(f"{self.root}/commits/{base + 1:010d}", done) else None
 
@@ -234,10 +234,15 @@ class BlockStore:
     def truncate(self, file_id: int, size: int) -> int | None:
         return None if self.stat(file_id)["size"] == size else self._one(file_id, "truncate", size, 0, None)
 
-    def write_batch(self, batch: DataFrame) -> int | None:
+    def write_batch(self, rows: DataFrame) -> int | None:
         """Whole and partial blocks (file_id, seq, blk_idx, off, len, data; null data: zeros)."""
         offset = (F.col("blk_idx") * self.block_size + F.col("off")).cast("long")
-        return self.apply(batch.select("file_id", "seq", F.when(F.col("data").isNull(), "write_zero").otherwise("write").alias("op"), offset.alias("offset"), F.col("len").cast("long").alias("len"), "data"))
+        return self.apply(rows.select("file_id", "seq", F.when(F.col("data").isNull(), "write_zero").otherwise("write").alias("op"), offset.alias("offset"), F.col("len").cast("long").alias("len"), "data"))
+
+    def write_aligned_batch(self, rows: DataFrame) -> int | None:
+        """Whole blocks (file_id, seq, blk_idx, data; null data: zeros); of a block given twice, the last stays."""
+        last = batch.aligned_last_wins(rows)
+        return self.write_batch(last.select("file_id", "seq", "blk_idx", F.lit(0).alias("off"), F.lit(self.block_size).alias("len"), "data"))
 
     def replay(self, log: DataFrame, token: str | None = None) -> int | None:
         """A write-ahead log (file_id, segid, seq, offset, len, is_zero, data), of segments not yet persisted."""

@@ -152,3 +152,31 @@ def test_config():
         assert NodeCacheConfig.parse(bad).mode == "Disabled"
     with pytest.raises(ValueError):
         StoreConfig.from_json("{}")
+
+
+def test_whole_files(spark, tmp_path):
+    from blockweave.sources.format import read_files, write_files
+
+    root = f"file://{tmp_path}/w"
+    first = spark.createDataFrame([(1, b"abc" * 20), (2, b"")], "file_id long, data binary")
+    assert write_files(spark, first, root, BS) == 1 and write_files(spark, spark.createDataFrame([(1, b"z")], "file_id long, data binary"), root, BS) == 2
+    assert {r.file_id: bytes(r.data) for r in read_files(spark, root, BS).collect()} == {1: b"z", 2: b""}
+    assert {r.file_id: bytes(r.data) for r in read_files(spark, root, BS, cno=1).collect()} == {1: b"abc" * 20, 2: b""}
+
+
+def test_cursor_and_aligned_batch(spark, store):
+    from blockweave.sources.cursor import FileCursor
+
+    rows = [(1, 0, 0, b"a" * BS), (1, 1, 1, b"c" * BS), (1, 2, 0, b"b" * BS), (1, 3, 2, None)]
+    store.write_aligned_batch(spark.createDataFrame(rows, "file_id long, seq long, blk_idx long, data binary"))
+    f = FileCursor(store, 1)
+    assert f.read(BS + 2) == b"b" * BS + b"cc" and f.tell() == BS + 2
+    assert f.seek(-4, 2) == 3 * BS - 4 and f.read(100) == bytes(4) and f.read(5) == b""
+    f.seek(2)
+    assert f.write(b"XY") == 2 and f.truncate() == 4
+    f.seek(0)
+    assert f.read() == b"bbXY"
+    with pytest.raises(S.ReadOnly):
+        FileCursor(store.snapshot(1), 1).write(b"x")
+    with pytest.raises(FileNotFoundError):
+        FileCursor(store, 9)
