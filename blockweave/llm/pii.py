@@ -132,13 +132,12 @@ class Pseudonyms:
         return f"{areas[x // (99 * 9999)]:03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
 
     def _card(self, text: str) -> str | None:
-        """All digits but the last are permuted; the last keeps the check sum of the value (right stays right)."""
+        """All digits but the check digit are permuted; the check digit is made right again. Wrong ones are no card numbers."""
         digits = re.sub(r"\D", "", text)
-        if not 13 <= len(digits) <= 19 or len(set(digits)) == 1:
+        if not 13 <= len(digits) <= 19 or len(set(digits)) == 1 or luhn(digits) % 10:
             return None
         body = self.number(digits[:-1], "card")
-        check = (luhn(digits) - luhn(body + "0")) % 10
-        return fill(text, body + str(check))
+        return fill(text, body + str(-luhn(body + "0") % 10))
 
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
         counts = dict.fromkeys(KINDS, 0)
@@ -157,7 +156,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col="doc_id", text_col="text")
     """id_col, text with pseudonyms, and n_mail, n_date, n_ip, n_phone, n_ssn, n_card.
 
     One row for each row of docs. Null texts stay null; values that fail their
-    check (ranges of dates and addresses, lengths of numbers) stay as they are;
+    check (check digits, ranges of dates and addresses, lengths) stay as they are;
     rows that repeat get the same pseudonyms; other columns are ignored; an
     empty table gives no rows. The key must stay secret.
     """

@@ -15,17 +15,14 @@ from util import docs, hard_texts
 
 PATH = tokenizer_path("piece_bpe_32k.model")
 LATTICE = pieces.Lattice(open(PATH, "rb").read(), 6.0)
+LIBRARY = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=PATH)
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("ab ▁\n é")), max_size=60), st.integers(0, 2**63 - 1))
 def test_lossless(text, key):
-    import sentencepiece
-
     ids = LATTICE.encode(text, key, 0)
-    assert LATTICE.decode(ids) == text
-    assert ids == pieces.Lattice(open(PATH, "rb").read(), 6.0).encode(text, key, 0) if len(text) < 3 else True
-    assert sentencepiece.SentencePieceProcessor(model_file=PATH).decode(ids) == text.replace("\x00", "\x00")
+    assert LATTICE.decode(ids) == text == LIBRARY.decode(ids)
 
 
 def plain_paths(text):
@@ -104,7 +101,7 @@ OWN = pii.Pseudonyms(b"key")
 def test_formats_stay():
     import datetime
 
-    for text, kind in (("7536784127813050", "card"), ("4111 1111 1111 1111", "card"), ("+1 (826) 555-4081", "phone"), ("826-555-4081", "phone"), ("10.0.255.1", "ip"), ("2024-02-29", "date"), ("31/12/1999", "date"), ("31.12.1999", "date"), ("219-09-9999", "ssn")):
+    for text, kind in (("4012888888881881", "card"), ("4111 1111 1111 1111", "card"), ("+1 (826) 555-4081", "phone"), ("826-555-4081", "phone"), ("10.0.255.1", "ip"), ("2024-02-29", "date"), ("31/12/1999", "date"), ("31.12.1999", "date"), ("219-09-9999", "ssn")):
         for around in ("{}", "x {} y", "({}).", "{}, {}", "é {}!\n"):
             new, counts = OWN.replace(around.format(text, text))
             assert counts[kind] == around.count("{}") and text not in new
@@ -117,7 +114,7 @@ def test_formats_stay():
     assert pii.Pseudonyms(b"other").replace("2024-02-29") != OWN.replace("2024-02-29")
 
 
-@pytest.mark.parametrize("text", ["2023-02-30", "32/13/1999", "999.1.2.3", "000-12-3456", "1111111111111111", "word@", "12345", "v1.2.3.4.5", "00:11:22", "1234567890123456789012345"])
+@pytest.mark.parametrize("text", ["2023-02-30", "32/13/1999", "999.1.2.3", "000-12-3456", "1111111111111111", "4111111111111112", "word@", "12345", "v1.2.3.4.5", "00:11:22", "1234567890123456789012345"])
 def test_invalid_values_stay(text):
     assert OWN.replace(text)[0] == text
 
@@ -134,7 +131,9 @@ def test_pseudonym_query(spark, sf):
     assert len(rows) == len(texts) and any(r.n_card or r.n_phone or r.n_mail for r in rows)
     for r in rows:
         assert r.text == own.replace(texts[r.doc_id])[0]
-        for x in re.findall(r"\b\d{16}\b|\+1 \(\d{3}\) 555-\d{4}|\b\d+\.\d+\.\d+\.\d+\b", texts[r.doc_id]):
+        for x in re.findall(r"(?<!\d)\d{16}(?!\d)", texts[r.doc_id]):
+            assert (x in r.text) == (pii.luhn(x) % 10 > 0)
+        for x in re.findall(r"\+1 \(\d{3}\) 555-\d{4}|\b\d+\.\d+\.\d+\.\d+\b", texts[r.doc_id]):
             assert x not in r.text
 
 
