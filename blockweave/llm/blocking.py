@@ -97,7 +97,7 @@ def equal_codes(a: Column, b: Column, n: int) -> Column:
 
 
 def shared_buckets(rows: DataFrame, at: str, distinct: bool = False, broadcast_buckets: int = 500_000) -> DataFrame:
-    """The rows (bucket, id, n) whose bucket holds another id, each once.
+    """The rows (bucket, id, ...) whose bucket holds another id, each once.
 
     rows is gone through twice rather than written: most buckets hold one id.
     Shared buckets are broadcast up to broadcast_buckets, which is checked;
@@ -115,7 +115,8 @@ def shared_buckets(rows: DataFrame, at: str, distinct: bool = False, broadcast_b
 def link_in_buckets(buckets: DataFrame, fits: Column, links: Links, least_shared: int, rounds: int, at: str, codes: DataFrame | None = None, n_codes: int = 0) -> DataFrame:
     """node, component: the components of all confirmed links inside buckets (bucket, id, n).
 
-    fits tells from the sizes n and m whether a pair can be alike at all; a
+    fits tells from n and m, what is known of the two rows' texts, whether they
+    can be alike at all, so that hopeless pairs are never listed; a
     pair is tested if it shares least_shared buckets. In each round every
     member is compared with the first member of its bucket only, which makes no
     more pairs than there are rows. Links join components, the order of members

@@ -10,6 +10,9 @@ are compared by a bit-parallel edit distance over the band of 2t + 1 diagonals.
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -53,11 +56,16 @@ def within(a: str, b: str, t: int) -> bool:
     around the diagonal are held in two numbers, bit 0 the topmost cell. Cells
     beyond the band only ever count as farther.
     """
-    m, n = len(a), len(b)
-    if abs(m - n) > t:
+    if abs(len(a) - len(b)) > t:
         return False
     if a == b:
         return True
+    head = len(commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    m, n = len(a), len(b)
+    limit = t + abs(m - n)  # a diagonal's values never fall, and its end is that far from the last cell
     width = 2 * t + 1
     full, top = (1 << width) - 1, 1 << (width - 1)
     down, up = full ^ ((1 << (t + 1)) - 1), (1 << (t + 1)) - 1  # differences +1 and -1
@@ -77,7 +85,7 @@ def within(a: str, b: str, t: int) -> bool:
         hp, hn = (hp << 1 | 1) & full, hn << 1 & full
         down, up = (hn | ~(d0 | hp)) & full, d0 & hp
         distance += not d0 >> t & 1
-        if distance > 2 * t:
+        if distance > limit:
             return False
     for b_, sign in ((range(n + 1, m + 1), 1), (range(m + 1, n + 1), -1)):
         for i in b_:
@@ -86,6 +94,19 @@ def within(a: str, b: str, t: int) -> bool:
     return distance <= t
 
 
+def parities(text: str) -> tuple[int, int]:
+    """Which of 128 classes of neighbouring character pairs occur an odd number of times.
+
+    One edit takes away or adds at most four pairs, so the prints of lines
+    within distance t differ in at most 4 * t bits.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    classes = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)) >> np.uint32(25)
+    odd = np.packbits(np.bincount(classes, minlength=128).astype(np.uint8) & 1)
+    low, high = odd.view(np.int64).tolist()
+    return low, high
+
+
 def edit_test(t: int):
     def make():
         return lambda text: text, lambda a, b: within(a, b, t)
@@ -106,16 +127,16 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
 
 
 def probe_rows(lines: DataFrame, t: int) -> DataFrame:
-    """bucket, id, n: the hashed substrings of each line (h, body), offered and looked up."""
+    """bucket, id: the hashed substrings of each line (h, body), offered and looked up."""
     from xxhash import xxh64_intdigest
 
-    schema = StructType([StructField("id", LongType()), StructField("n", LongType()), StructField("buckets", ArrayType(LongType(), False))])
+    schema = StructType([StructField("id", LongType()), StructField("buckets", ArrayType(LongType(), False))])
 
     def make():
         plans: dict[int, list] = {}
 
         def step(batch):
-            sizes, found = [], []
+            found = []
             for body in batch.column(1).to_pylist():
                 n = len(body)
                 plan = plans.get(n)
@@ -124,16 +145,30 @@ def probe_rows(lines: DataFrame, t: int) -> DataFrame:
                         plans.clear()
                     # what is offered is also looked up, at the line's own length and place
                     plan = plans[n] = [(f"{other}:{i}:", start, start + size) for other, i, start, size in probes(n, t)]
-                sizes.append(n)
                 found.append(list({xxh64_intdigest(head + body[a:b]) - (1 << 63) for head, a, b in plan}))
-            return [batch.column(0), sizes, found]
+            return [batch.column(0), found]
+
+        return step
+
+    return map_batches(lines, schema, make).select(F.explode("buckets").alias("bucket"), "id")
+
+
+def line_prints(lines: DataFrame) -> DataFrame:
+    """id, n: length and parities of each line (h, body)."""
+    schema = StructType([StructField("id", LongType()), StructField("len", LongType()), StructField("low", LongType()), StructField("high", LongType())])
+
+    def make():
+        def step(batch):
+            bodies = batch.column(1).to_pylist()
+            found = [parities(b) for b in bodies]
+            return [batch.column(0), [len(b) for b in bodies], [p[0] for p in found], [p[1] for p in found]]
 
         return step
 
-    return map_batches(lines, schema, make).select(F.explode("buckets").alias("bucket"), "id", "n")
+    return map_batches(lines, schema, make).select("id", F.struct("len", "low", "high").alias("n"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str, text_col: str, t: int, min_chars: int, rounds: int, at: str) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, t: int, min_chars: int, rounds: int, at: str, broadcast_ids: int = 500_000) -> DataFrame:
     """doc, print, drop: the numbers of the lines that repeat an earlier line, for documents that have any.
 
     Lines are named by a 64-bit hash; lines of which a different line has the
@@ -145,7 +180,12 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, t: int, min_char
     classes = materialize(spark, classes, at, "classes")
     buckets = shared_buckets(probe_rows(rows.select("h", "body"), t), at, distinct=True)
     texts = rows.select(F.col("h").alias("bw_id"), F.col("body").alias("bw_text"))
-    comps = link_in_buckets(buckets, F.expr(f"abs(n - m) <= {int(t)}"), Links(texts, edit_test(t), at), least_shared=1, rounds=rounds, at=at)
+    ids = materialize(spark, buckets.select("id").distinct(), at, "ids")
+    wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    prints = line_prints(rows.select(F.col("h").alias("id"), "body").join(wanted, "id", "left_semi")).distinct()
+    buckets = materialize(spark, buckets.join(prints, "id"), at, "printed")
+    fits = F.expr(f"abs(n.len - m.len) <= {int(t)} AND bit_count(n.low ^ m.low) + bit_count(n.high ^ m.high) <= {4 * int(t)}")
+    comps = link_in_buckets(buckets, fits, Links(texts, edit_test(t), at), least_shared=1, rounds=rounds, at=at)
     grouped = classes.where("g = g2").join(comps.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     firsts = grouped.groupBy("component").agg(F.min("first").alias("first"), F.sum("c").alias("n")).where("n > 1")
     firsts = materialize(spark, firsts.select("component", "first"), at, "firsts")

@@ -27,6 +27,18 @@ def test_banded_distance(a, b, t):
     assert lines.within(a, b, t) == (distance(a, b) <= t)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcé", max_size=30), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.sampled_from("abx")), max_size=4))
+def test_parities_bound_the_distance(a, edits):
+    b = a
+    for kind, at, c in edits:
+        at %= len(b) + 1
+        b = b[:at] + (c if kind != 2 else "") + b[at + (kind != 1) :]
+    (p, q), (r, s) = lines.parities(a), lines.parities(b)
+    bits = ((p ^ r) & (2**64 - 1)).bit_count() + ((q ^ s) & (2**64 - 1)).bit_count()
+    assert bits <= 4 * distance(a, b)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("ab", min_size=6, max_size=20), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 30), st.sampled_from("abc")), max_size=3), st.integers(1, 3))
 def test_probes_meet(a, edits, t):
