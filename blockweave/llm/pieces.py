@@ -23,7 +23,7 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import map_batches
 
@@ -63,6 +63,13 @@ class Lattice:
         self.weight = {self.pieces[i]: ((i,), math.exp(theta * (sp.get_score(i) / -low - 1.0)) if low else math.exp(-theta)) for i in normal}
         self.heads = {p[:k] for p in self.weight for k in range(1, len(p) + 1)}
         self.single = {p.replace(MARK, " ") for p in self.weight if len(p) == 1}
+        # the pieces as a tree of characters; "" leads to a piece's weight and ids
+        self.tree: dict = {}
+        for piece, (ids, weight) in self.weight.items():
+            node = self.tree
+            for c in piece.replace(MARK, " "):
+                node = node.setdefault(c, {})
+            node[""] = (weight, ids)
         # neighbouring characters that no piece holds: paths never cross between them
         self.inner = np.zeros((WIDE, WIDE), dtype=bool)
         self.far = set()
@@ -114,6 +121,39 @@ class Lattice:
                 forward = [f * 1e200 for f in forward]
         return table
 
+    def quick(self, unit: str, u: float) -> tuple[tuple[int, ...], float, float]:
+        """back() for units of up to one_draw vocabulary characters: weights are pushed forward along the tree."""
+        n = len(unit)
+        forward = [1.0] + [0.0] * n
+        steps: list[list] = [[] for _ in range(n + 1)]
+        root = self.tree
+        for start in range(n):
+            so_far, node = forward[start], root
+            for end in range(start, n):
+                node = node.get(unit[end])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None:
+                    part = so_far * piece[0]
+                    forward[end + 1] += part
+                    steps[end + 1].append((part, start, piece[1]))
+        end, out, low, width = n, [], 0.0, 1.0
+        while end:
+            total = forward[end]
+            target, before = u * total, 0.0
+            for part, start, ids in steps[end]:
+                if target < before + part:
+                    break
+                before += part
+            else:
+                before -= part
+            low, width = low + before / total * width, width * (part / total)
+            u = min(max((target - before) / part, 0.0), 1.0 - 2**-53)
+            out.append(ids)
+            end = start
+        return tuple(i for ids in reversed(out) for i in ids), low, low + width
+
     def back(self, word: str, u: float) -> tuple[tuple[int, ...], float, float]:
         """Backward sampling of a word by one number: the ids, and the interval of numbers that give them.
 
@@ -140,7 +180,8 @@ class Lattice:
         return path, low, low if fresh else low + width
 
     def miss(self, word: str, u: float) -> tuple[int, ...]:
-        path, low, high = self.back(word, u)
+        short = len(word) <= self.one_draw and self.single.issuperset(word)
+        path, low, high = self.quick(word, u) if short else self.back(word, u)
         if high > low:
             found = self.memo.get(word)
             if found is None:
@@ -204,21 +245,21 @@ def _model(df: DataFrame, path: str):
 
 
 def encode(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text", theta: float = 6.0, seed: int = 0) -> DataFrame:
-    """id_col, pieces (array of int), n_pieces, lossless for every row of docs.
+    """id_col, pieces (array of int), n_pieces for every row of docs.
 
     The row key is a hash of the id. Empty texts give no pieces; null texts
     null pieces with n_pieces 0; rows that repeat an id and a text are
     segmented alike; other columns are ignored; an empty table gives no rows.
-    lossless tells that decoding the pieces gave the text back.
+    decode() gives back every text.
     """
     model = _model(docs, model_path)
-    schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("pieces", ArrayType(IntegerType(), False)), StructField("n_pieces", LongType()), StructField("lossless", BooleanType())])
+    schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("pieces", ArrayType(IntegerType(), False)), StructField("n_pieces", LongType())])
 
     def make():
         own = lattice(model.value, theta)
 
         def step(batch):
-            flat, offsets, counts, lossless, valid = [], [0], [], [], []
+            flat, offsets, counts, valid = [], [0], [], []
             keys = batch.column(1).to_pylist()
             for key, text in zip(keys, batch.column(2).to_pylist()):
                 ids = own.encode(text, key, seed) if text else []
@@ -226,10 +267,9 @@ def encode(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text", t
                 offsets.append(offsets[-1] + len(ids))
                 counts.append(len(ids))
                 valid.append(text is None)
-                lossless.append(own.decode(ids) == (text or ""))
             values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
             pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(valid))
-            return [batch.column(0), pieces.cast(pa.list_(pa.field("element", pa.int32(), nullable=False))), counts, lossless]
+            return [batch.column(0), pieces.cast(pa.list_(pa.field("element", pa.int32(), nullable=False))), counts]
 
         return step
 

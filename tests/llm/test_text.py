@@ -71,7 +71,7 @@ def test_pieces_query(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     out = QUERIES["op3_sampled_pieces"](spark, sf)
     rows = out.collect()
-    assert len(rows) == len(texts) and all(r.lossless and r.n_pieces == len(r.pieces) for r in rows)
+    assert len(rows) == len(texts) and all(r.n_pieces == len(r.pieces) for r in rows)
     assert {r.doc_id: r.text for r in pieces.decode(out, PATH).collect()} == texts
     assert all(LATTICE.decode(r.pieces) == texts[r.doc_id] for r in rows)
 
@@ -82,7 +82,6 @@ def test_pieces_cases(spark):
     out = pieces.encode(df, PATH)
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[0].pieces is None and rows[0].n_pieces == 0 and rows[1].pieces == []
-    assert all(r.lossless for r in rows.values())
     assert {r.doc_id: r.text for r in pieces.decode(out, PATH).collect()} == dict(enumerate(texts))
     assert {r.doc_id: r.pieces for r in pieces.encode(df.repartition(5), PATH).collect()} == {i: r.pieces for i, r in rows.items()}
     assert pieces.encode(df.limit(0), PATH).count() == 0
