@@ -179,10 +179,12 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, t: int, min_char
     classes = rows.groupBy("h").agg(F.min("g").alias("g"), F.max("g").alias("g2"), F.min(F.struct("doc", "print", "line")).alias("first"), F.count(F.lit(1)).alias("c"))
     classes = materialize(spark, classes, at, "classes")
     buckets = shared_buckets(probe_rows(rows.select("h", "body"), t), at, distinct=True)
-    texts = rows.select(F.col("h").alias("bw_id"), F.col("body").alias("bw_text"))
-    ids = materialize(spark, buckets.select("id").distinct(), at, "ids")
+    ids = materialize(spark, buckets.select(F.col("id").alias("bw_id")).distinct(), at, "ids")
     wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    prints = line_prints(rows.select(F.col("h").alias("id"), "body").join(wanted, "id", "left_semi")).distinct()
+    # each line that shares a bucket is written once; later rounds never read the documents again
+    texts = rows.select(F.col("h").alias("bw_id"), F.col("body").alias("bw_text")).join(wanted, "bw_id", "left_semi")
+    texts = materialize(spark, texts.dropDuplicates(["bw_id"]), at, "texts")
+    prints = line_prints(texts.select(F.col("bw_id").alias("id"), F.col("bw_text").alias("body")))
     buckets = materialize(spark, buckets.join(prints, "id"), at, "printed")
     fits = F.expr(f"abs(n.len - m.len) <= {int(t)} AND bit_count(n.low ^ m.low) + bit_count(n.high ^ m.high) <= {4 * int(t)}")
     comps = link_in_buckets(buckets, fits, Links(texts, edit_test(t), at), least_shared=1, rounds=rounds, at=at)
