@@ -168,21 +168,23 @@ def line_prints(lines: DataFrame) -> DataFrame:
     return map_batches(lines, schema, make).select("id", F.struct("len", "low", "high").alias("n"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str, text_col: str, t: int, min_chars: int, rounds: int, at: str, broadcast_ids: int = 500_000) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, t: int, min_chars: int, rounds: int, at: str, broadcast_ids: int = 500_000, exact_chars: int | None = None) -> DataFrame:
     """doc, print, drop: the numbers of the lines that repeat an earlier line, for documents that have any.
 
-    Lines are named by a 64-bit hash; lines of which a different line has the
+    Lines of min_chars or more meet in the edit join; shorter ones, down to
+    exact_chars, only in their names, so that equal ones are one group. Lines are named by a 64-bit hash; lines of which a different line has the
     same name, as a second hash tells, are left alone.
     """
     spark = docs.sparkSession
-    rows = line_rows(docs, id_col, text_col, min_chars)
+    rows = line_rows(docs, id_col, text_col, min_chars if exact_chars is None else min(exact_chars, min_chars))
+    joined = rows.where(F.length("body") >= min_chars)
     classes = rows.groupBy("h").agg(F.min("g").alias("g"), F.max("g").alias("g2"), F.min(F.struct("doc", "print", "line")).alias("first"), F.count(F.lit(1)).alias("c"))
     classes = materialize(spark, classes, at, "classes")
-    buckets = shared_buckets(probe_rows(rows.select("h", "body"), t), at, distinct=True)
+    buckets = shared_buckets(probe_rows(joined.select("h", "body"), t), at, distinct=True)
     ids = materialize(spark, buckets.select(F.col("id").alias("bw_id")).distinct(), at, "ids")
     wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
     # each line that shares a bucket is written once; later rounds never read the documents again
-    texts = rows.select(F.col("h").alias("bw_id"), F.col("body").alias("bw_text")).join(wanted, "bw_id", "left_semi")
+    texts = joined.select(F.col("h").alias("bw_id"), F.col("body").alias("bw_text")).join(wanted, "bw_id", "left_semi")
     texts = materialize(spark, texts.dropDuplicates(["bw_id"]), at, "texts")
     prints = line_prints(texts.select(F.col("bw_id").alias("id"), F.col("bw_text").alias("body")))
     buckets = materialize(spark, buckets.join(prints, "id"), at, "printed")
@@ -196,17 +198,18 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, t: int, min_char
     return materialize(spark, places.groupBy("doc", "print").agg(F.collect_set("line").alias("drop")), at, "drops")
 
 
-def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", t: int = 2, min_chars: int = 30, rounds: int = 4, broadcast_docs: int = 200_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", t: int = 2, min_chars: int = 30, rounds: int = 4, broadcast_docs: int = 200_000, exact_chars: int | None = None) -> DataFrame:
     """The rows of docs with repeated lines cut out of the text, and bw_dropped, how many.
 
     A line is what stands between line feeds, without blanks at its ends. Lines
     within edit distance t of each other, in any number of steps, are one
     group; its first line, by document id, text and line number, stays and the
-    others go. Lines of fewer than min_chars code points always stay. Null
-    texts stay null; null ids come first; rows that repeat id and text count as
+    others go. Lines of fewer than min_chars code points do not take part in
+    that: with exact_chars, those of at least so many form groups of equal
+    lines, and shorter ones stay; without, all of them stay. Null texts stay null; null ids come first; rows that repeat id and text count as
     one document; other columns are passed on; an empty table stays empty.
     """
-    drops = repeated_lines(docs, id_col, text_col, t, min_chars, rounds, stage_dir(docs.sparkSession))
+    drops = repeated_lines(docs, id_col, text_col, t, min_chars, rounds, stage_dir(docs.sparkSession), exact_chars=exact_chars)
     drops = drops.select(F.col("doc").alias("bw_doc"), F.col("print").alias("bw_print"), F.col("drop").alias("bw_drop"))
     if drops.count() <= broadcast_docs:
         drops = F.broadcast(drops)

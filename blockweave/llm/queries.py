@@ -58,7 +58,7 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_report(table(spark, sf_dir, "documents"))
+    return lines.dedup_report(table(spark, sf_dir, "documents"), exact_chars=1)
 
 
 QUERIES = {

@@ -107,3 +107,21 @@ def test_line_groups(spark):
     got = {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, texts), t=2).collect()}
     assert all(got[i].split("\n")[-1].startswith("own line") for i in got)
     assert got[0].count("\n") == 1 and all("passage" not in got[i] for i in range(1, 150))
+
+
+def test_short_lines(spark, sf):
+    """Short lines go where they are equal, long ones within two edits; the query runs so."""
+    from blockweave.llm.queries import QUERIES
+
+    texts = ["All rights reserved.\n\nYes\n}", " All rights reserved.\t\n\nYess\n}", "All rights reserved!\nYes", "one line that is long enough for the join\nx", "one line that is long enough for the joins\nx", None]
+    got = {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, texts), exact_chars=1).collect()}
+    assert got == {0: texts[0], 1: "\nYess", 2: "All rights reserved!", 3: texts[3], 4: "", 5: None}
+    report = {x.doc_id: x.n_dropped for x in QUERIES["op10_line_dedup"](spark, sf).collect()}
+    seen, short = set(), {}
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        for x in (r.text or "").split("\n"):
+            x = x.strip(lines.BLANK)
+            if 0 < len(x) < 30:
+                short[r.doc_id] = short.get(r.doc_id, 0) + (x in seen)
+                seen.add(x)
+    assert sum(short.values()) > 0 and all(report[i] >= n for i, n in short.items())
