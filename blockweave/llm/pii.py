@@ -29,6 +29,10 @@ SSN = r"(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
 CARD = r"(?P<card>(?<![\d.-])(?:\d[ -]?){12,18}\d(?![\d-]))"
 FIND = re.compile("|".join((MAIL, DATE, ADDRESS, SSN, PHONE, CARD)))
 KINDS = ("mail", "date", "ip", "phone", "ssn", "card")
+#: The patterns one by one, in the order in which they are tried at a place.
+EACH = tuple((p[4 : p.index(">")], re.compile(p)) for p in (MAIL, DATE, ADDRESS, SSN, PHONE, CARD))
+#: Cards as they are usually written: in one run, by fours, or 4-6-4 and 4-6-5.
+USUAL = re.compile(r"\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}")
 #: Every match holds two digits in a row, or a mail sign.
 HINT = r"[0-9][0-9 ().-]*[0-9]|@"
 
@@ -139,17 +143,84 @@ class Pseudonyms:
         body = self.number(digits[:-1], "card")
         return fill(text, body + str(-luhn(body + "0") % 10))
 
-    def replace(self, text: str) -> tuple[str, dict[str, int]]:
-        counts = dict.fromkeys(KINDS, 0)
+    def _phone_ends(self, text: str, start: int, end: int) -> list[int]:
+        """Ends of the readings of a phone number, the best first.
+
+        Digits that begin a valid value of another kind, or another phone, are
+        not taken. Numbers of country 1 have eleven digits; otherwise the
+        longest reading that does not end inside a token goes first.
+        """
+        pattern = dict(EACH)["phone"]
+        ends = [e for e in range(end, start, -1) if text[e - 1].isdigit() and not text[e : e + 1].isdigit() and pattern.fullmatch(text, start, e) and 7 <= sum(map(str.isdigit, text[start:e])) <= 15]
+        for q in sorted(e + 1 for e in ends if e < end):
+            if self._value_at(text, q):
+                ends = [e for e in ends if e < q]
+                break
+        eleven = re.match(r"\+1(?!\d)", text[start:end]) is not None
+
+        def order(e: int):
+            return (eleven and sum(map(str.isdigit, text[start:e])) != 11, re.match(r"[./:-]\d", text[e : e + 2]) is not None, -e)
+
+        return sorted(ends, key=order)
+
+    def _value_at(self, text: str, at: int) -> bool:
+        for kind, pattern in EACH:
+            m = pattern.match(text, at)
+            if m and (any(USUAL.fullmatch(text, at, e) and self.of(kind, text[at:e]) for e in self._card_cuts(text, at, m.end())) if kind == "card" else self.of(kind, m[0])):
+                return True
+        return False
+
+    def _card_cuts(self, text: str, start: int, end: int) -> list[int]:
+        return [e for e in range(end, start + 12, -1) if text[e - 1].isdigit() and not (text[e : e + 1].isdigit() or text[e : e + 1] == "-")]
+
+    def _card_ends(self, text: str, start: int, end: int, again: bool) -> list[int]:
+        """Ends of the readings of a card number, the best first.
+
+        Usual notations go before the whole match, and one that begins inside
+        the match goes before any other reading at this place. Shorter readings,
+        and any reading inside a match that failed (again), need groups of three
+        digits or more: among lists of small numbers some always pass the check.
+        """
+        cuts = self._card_cuts(text, start, end)
+        usual = [e for e in cuts if USUAL.fullmatch(text, start, e)]
+        for q in range(start + 1, end):
+            m = EACH[-1][1].match(text, q)
+            if m and not any(self.of("card", text[start:e]) for e in usual) and any(USUAL.fullmatch(text, q, e) and self.of("card", text[q:e]) for e in self._card_cuts(text, q, m.end())):
+                return []
+        wide = [e for e in cuts if e not in usual and all(len(g) >= 3 for g in re.split("[ -]", text[start:e]))]
+        return usual + ([] if again else [end]) + wide
 
-        def one(m: re.Match) -> str:
-            new = self.of(m.lastgroup, m[0])
-            if new is None:
-                return m[0]
-            counts[m.lastgroup] += 1
-            return new
+    def replace(self, text: str) -> tuple[str, dict[str, int]]:
+        """The text with pseudonyms, and how many of each kind.
 
-        return FIND.sub(one, text), counts
+        Where no reading of a match passes its check, other kinds are tried at
+        that place, and then the search goes on at the next character.
+        """
+        counts = dict.fromkeys(KINDS, 0)
+        out, kept, at, failed = [], 0, 0, 0
+        while m := FIND.search(text, at):
+            start, done = m.start(), False
+            for kind, pattern in EACH:
+                one = m if kind == m.lastgroup else pattern.match(text, start)
+                if not one:
+                    continue
+                end = one.end()
+                ends = self._phone_ends(text, start, end) if kind == "phone" else self._card_ends(text, start, end, start < failed) if kind == "card" else [end]
+                for e in ends:
+                    new = self.of(kind, text[start:e])
+                    if new is not None:
+                        out += (text[kept:start], new)
+                        kept = at = e
+                        counts[kind] += 1
+                        done = True
+                        break
+                if done:
+                    break
+                if kind == "card":
+                    failed = max(failed, end)
+            if not done:
+                at = start + 1
+        return "".join([*out, text[kept:]]), counts
 
 
 def pseudonymise(docs: DataFrame, key: bytes, id_col="doc_id", text_col="text") -> DataFrame:

@@ -142,3 +142,30 @@ def test_pseudonym_cases(spark):
     rows = {r.doc_id: r for r in pii.pseudonymise(df, b"k").collect()}
     assert rows[0].text is None and rows[len(texts) - 2].n_mail == 2000 and rows[len(texts) - 1].text == "5" * 5000
     assert pii.pseudonymise(df.limit(0), b"k").count() == 0
+
+
+@pytest.mark.parametrize("kind, value, around", [
+    ("phone", "+1 (826) 555-4081", "{} 190.137.20.7"),
+    ("phone", "+1 (826) 555-4081", "{} 2024-02-29"),
+    ("phone", "+1 (826) 555-4081", "{} 12/27"),
+    ("phone", "+1 (826) 555-4081", "{} 826-555-4081"),
+    ("phone", "+1 (826) 555-4081", "{} 4012888888881881"),
+    ("phone", "+1 826-555-4081", "{} 15 times"),
+    ("phone", "+44 20 7946 0958", "{} 190.137.20.7"),
+    ("card", "4111 1111 1111 1111", "{} 12/27"),
+    ("card", "4111 1111 1111 1111", "{} 123"),
+    ("card", "4012888888881881", "12 {}"),
+    ("card", "4111 1111 1111 1111", "77 {} 99"),
+])
+def test_neighbours_hide_nothing(kind, value, around):
+    new, counts = OWN.replace(around.format(value))
+    alone = OWN.replace(value)[0]
+    assert counts[kind] >= 1 and alone != value and alone in new and value not in new
+    for other in ("190.137.20.7", "2024-02-29", "826-555-4081", "4012888888881881"):
+        if other in around:
+            assert other not in new and OWN.replace(other)[0] in new
+
+
+def test_lists_of_numbers_stay():
+    for text in ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23", "12 34 56 78 90 12 34 56 79 11 22 33 44 55"):
+        assert OWN.replace(text)[0] == text or not pii.luhn(re.sub(r"\D", "", pii.EACH[-1][1].match(text)[0])) % 10
