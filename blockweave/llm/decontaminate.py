@@ -248,10 +248,11 @@ def remove_spans(text: str, spans: list[int]) -> str:
     return b"".join([*out, data[kept:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", max_run: int = 9, max_coverage: float = 0.5, **options) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", max_coverage: float = 0.5, **options) -> DataFrame:
     """The documents without benchmark passages, with the columns they came with.
 
-    Spans of over max_run hit words are cut out of the text. A document whose
+    All hit words are cut out of the text: windows, and whole items that have
+    fewer words than a window. A document whose
     hit words are more than max_coverage of all its words goes altogether.
     Documents without hits stay as they are, null texts included.
     """
@@ -266,8 +267,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="
                 hit = sum(s[1::2]) - sum(s[::2])
                 drop.append(bool(hit) and hit > max_coverage * len(words_of(texts[i])))
                 if hit and not drop[-1]:
-                    long = [x for a, b in zip(s[::2], s[1::2]) if b - a > max_run for x in (a, b)]
-                    texts[i] = remove_spans(texts[i], long)
+                    texts[i] = remove_spans(texts[i], s)
             return [batch.column(0), texts, drop]
 
         return step

@@ -90,3 +90,13 @@ def test_planted(spark, tmp_path):
     assert not any(item in t for t in back.values()) and 37 in back
     assert not {38, 39, 40} & set(back)
     assert 30 not in back and 31 not in back
+
+
+def test_short_items_are_cut(spark):
+    """Items of fewer words than a window leave the text too."""
+    items = spark.createDataFrame([(1, "Which river is longest?"), (2, "one two three four five six seven eight nine")], "item_id long, text string")
+    fill = " ".join(f"w{i}" for i in range(40))
+    texts = [f"{fill}\nwhich River is longest {fill}", f"{fill} one two three four five six seven eight nine. {fill}", f"{fill} which river {fill}", None]
+    got = {x.doc_id: x.text for x in decontaminate.decontaminate(docs(spark, texts), items).collect()}
+    assert got[0].split() == [*fill.split(), *fill.split()] and "seven" not in got[1] and got[2] == texts[2] and got[3] is None
+    assert not any(x.contaminated for x in decontaminate.contamination(docs(spark, list(got.values())), items).collect())
