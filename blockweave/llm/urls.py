@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from html import unescape
+from urllib.parse import urljoin
+
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .common import materialize, stage_dir
+from .common import map_batches, materialize, stage_dir
 from .graph import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,23 +56,80 @@ def with_rules(urls: DataFrame, rules: DataFrame, inline_limit: int = 1000) -> D
     return joined.select(*urls.columns, best["rule"].alias("rule"), best["action"].alias("action"))
 
 
-def absolute(target: Column, base: Column) -> Column:
-    """A link as an absolute url, without its fragment."""
-    origin = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([^:/?#]+:)//", 1)
-    full = F.when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(origin, target)).when(target.contains("://"), target)
-    return F.regexp_replace(full, "#.*$", "")
+def key_of(url: Column) -> Column:
+    """The url under which pages and links meet: no fragment, scheme and host in lower case."""
+    head = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1)
+    return F.regexp_replace(F.concat(F.translate(head, UPPER, LOWER), F.substring(url, F.length(head) + 1, F.length(url))), "#.*$", "")
+
+
+def absolute(target: str, base: str) -> str | None:
+    """A link of the page at base as an absolute url; None if it is not one of a web page."""
+    if SCHEME.match(target):
+        return target if "://" in target else None
+    own = ORIGIN.match(base)
+    if not own:
+        return None
+    if target.startswith("//"):
+        return own[1] + target
+    if target.startswith("/") and not DOTS.search(target):
+        return own[0] + target
+    path = base[own.end() :]
+    # joined below a scheme that urljoin knows, whatever the page's own is
+    try:
+        joined = urljoin(f"http://x{path}", target)
+    except ValueError:
+        return None
+    return own[0] + joined[len("http://x") :]
+
+
+def links_of(page: str, base: str) -> list[str]:
+    """The absolute targets of all canonical links and refresh redirects of a page, in page order."""
+    out = []
+    for m in TAG.finditer(page):
+        found: dict[str, str] = {}
+        for name, a, b, c in ATTRIBUTE.findall(m[2]):
+            found.setdefault(name.lower(), unescape(a or b or c).strip(BLANK))
+        target = None
+        if m[1].lower() == "link":
+            if "canonical" in found.get("rel", "").lower().split():
+                target = found.get("href")
+        elif found.get("http-equiv", "").lower() == "refresh":
+            refresh = REFRESH.search(found.get("content", ""))
+            target = refresh and refresh[1].strip(BLANK)
+        url = absolute(target, base) if target else None
+        if url:
+            out.append(url)
+    return out
+
+
+SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+ORIGIN = re.compile(r"([^:/?#]+:)//[^/?#]*")
+#: Steps to the same or the upper folder.
+DOTS = re.compile(r"^[^?#]*/\.\.?(?:[/?#]|$)")
+TAG = re.compile(r"""<(link|meta)\b((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
+REFRESH = re.compile(r"""\burl\s*=\s*["']?([^"']+)""", re.I)
+BLANK = " \t\n\r\f"
 
 
 def link_edges(pages: DataFrame, url_col="url", html_col="html") -> DataFrame:
-    """Edges (a, b) between urls: canonical links and refresh redirects of the pages."""
+    """Edges (a, b) between urls: all canonical links and refresh redirects of the pages.
+
+    Attributes may stand in any order; character references are decoded, and
+    relative targets are resolved against the url of the page.
+    """
     html = F.col(html_col).cast("string")
-    link = F.regexp_extract(html, r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
-    canonical = F.regexp_extract(link, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\bcontent\s*=\s*["'][^"'>]*\burl\s*=\s*([^"'>\s]+)""", 1)
-    some = pages.where(F.col(url_col).isNotNull() & html.rlike(r"(?i)canonical|refresh"))
-    out = some.select(F.col(url_col).cast("string").alias("u"), F.explode(F.array(canonical, refresh)).alias("t")).where("t <> ''")
-    return out.select(F.regexp_replace("u", "#.*$", "").alias("a"), absolute(F.col("t"), F.col("u")).alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    some = pages.where(F.col(url_col).isNotNull() & html.rlike(r"(?i)<(?:link|meta)\b")).select(F.col(url_col).cast("string").alias("u"), html.alias("h"))
+    schema = StructType([StructField("u", StringType()), StructField("t", ArrayType(StringType()))])
+
+    def make():
+        def step(batch):
+            return [batch.column(0), [links_of(page, url) for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]]
+
+        return step
+
+    out = map_batches(some, schema, make).select("u", F.explode("t").alias("t"))
+    return out.select(key_of(F.col("u")).alias("a"), key_of(F.col("t")).alias("b")).where("a <> b")
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame, id_col="page_id", url_col="url") -> DataFrame:
@@ -75,7 +137,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame, id_col="pag
 
     The verdict is that of the longest rule that fits. A url without a rule is
     blocked if a url it is an alias of (by redirects and canonical links, in
-    any number of steps, fragments aside) is blocked by a rule; otherwise it is
+    any number of steps, fragments and the case of hosts aside) is blocked by a rule; otherwise it is
     allowed. A url's own allow rule stands whatever its aliases are. Null urls
     and urls without :// have empty host and path, no rule and no aliases.
     alias_of is the smallest url of the component, null without edges. Repeated
@@ -88,7 +150,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame, id_col="pag
     nodes = with_rules(linked.withColumns({"bw_host": host_of(F.col("node")), "bw_path": path_of(F.col("node"))}), rules)
     blocked = nodes.groupBy("component").agg(F.bool_or(F.coalesce(F.col("action") == "block", F.lit(False))).alias("bw_blocked"))
     aliases = linked.join(blocked, "component").select(F.col("node").alias("bw_key"), F.col("component").alias("alias_of"), "bw_blocked")
-    joined = df.withColumn("bw_key", F.regexp_replace("bw_url", "#.*$", "")).join(aliases, "bw_key", "left")
+    joined = df.withColumn("bw_key", key_of(F.col("bw_url"))).join(aliases, "bw_key", "left")
     verdict = F.coalesce("action", F.when(F.col("bw_blocked"), F.lit("block")), F.lit("allow"))
     return joined.select(id_col, F.col("bw_host").alias("host"), F.col("bw_path").alias("path"), "rule", verdict.alias("verdict"), "alias_of")
 

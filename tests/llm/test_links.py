@@ -227,3 +227,27 @@ def test_html_cases(spark):
     assert rows[2].text == rows[3].text == "" and rows[2].n_chars == 0
     assert rows[4].text == "just text < 3 & more" and rows[6].text == "a\nb" and rows[5].text.endswith("deep")
     assert html.main_text(df.limit(0)).count() == 0
+
+
+def test_links_of_all_kinds(spark):
+    at = "http://ok.org/dir/page"
+    tags = {
+        '<link rel=canonical href="q">': "http://ok.org/dir/q",
+        '<link href="?id=3" rel="canonical">': "http://ok.org/dir/page?id=3",
+        "<link rel='canonical' href='../x/./y'>": "http://ok.org/x/y",
+        '<link rel="canonical" href="/a/../z">': "http://ok.org/z",
+        '<link rel="canonical" href="/q?a=1&amp;b=2">': "http://ok.org/q?a=1&b=2",
+        '<META CONTENT="0;URL=q" HTTP-EQUIV="Refresh">': "http://ok.org/dir/q",
+        "<meta http-equiv=refresh content=0;url=/u>": "http://ok.org/u",
+        """<meta http-equiv="refresh" content="5; url='//h.org/p'">""": "http://h.org/p",
+        '<link rel="canonical" href="mailto:a@b.org">': None,
+        '<link rel="stylesheet" href="q">': None,
+    }
+    for tag, want in tags.items():
+        assert urls.links_of(f"<head>{tag}</head>", at) == ([want] if want else []), tag
+    assert urls.links_of("".join(tags), at) == [x for x in tags.values() if x]
+    pages = [(0, at, '<link rel=canonical href="http://fine.org/1"><link rel=canonical href="../bad?a=1&amp;b=2">'), (1, "http://OK.org/bad?a=1&b=2", '<link rel=canonical href="HTTP://Z.ORG/es/q">'), (2, "http://z.org/es/q", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = {r.page_id: r for r in urls.judge_urls(df, urls.rule_table(spark), urls.link_edges(df)).collect()}
+    assert [rows[i].verdict for i in range(3)] == ["block", "block", "block"]
+    assert len({rows[i].alias_of for i in range(3)}) == 1
