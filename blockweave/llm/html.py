@@ -4,7 +4,8 @@ Pages of one host are aligned in small groups: the trees are matched by simple
 tree matching into a wrapper. A wrapper node whose own text is the same on all
 pages of a group is template; one whose text varies is a content slot. The
 content root is the page's article landmark or, without one, the smallest
-subtree that holds most of the text in varying slots. Menus, headers, footers,
+subtree that holds most of the text in varying slots. Blocks inside a landmark
+that are the same on all pages of a group with several articles are left out. Menus, headers, footers,
 sidebars, notices, adverts, forms, scripts and comments are left out by their
 elements and by the names in their class, id or role.
 """
@@ -33,6 +34,8 @@ CLOSES_P = BLOCK - {"body", "html"}
 #: Words of class, id and role names that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu navbar nav navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice alert comment comments discussion disqus reply replies share sharing social newsletter subscribe subscription signup login search popup modal related recommended footer masthead copyright pager pagination toolbar widget skip contentinfo complementary".split())
 DEPTH = 150
+#: So many different articles in a group show that a block on all its pages belongs to none of them.
+ARTICLES = 4
 
 
 class Node:
@@ -213,8 +216,13 @@ def content_roots(tree: Node, pages: int) -> tuple[list[Node], bool]:
     return [at], False
 
 
-def blocks(node: Node, pages: int, marked: bool, out: list[list[str]]) -> None:
-    """Collects the text of the blocks in page order; out[-1] is the open one."""
+def constant(node: Node, pages: int) -> bool:
+    """Nothing in the subtree varies between the pages of the group."""
+    return template(node, pages) and all(constant(k, pages) for k in node.elements())
+
+
+def blocks(node: Node, pages: int, marked: bool, out: list[list[str]], notices: bool = True) -> None:
+    """Collects the text of the blocks in page order; out[-1] is the open one. Without notices, constant blocks are left out."""
     drop_own = not marked and template(node, pages)
     for k in node.kids:
         if k.__class__ is str:
@@ -222,14 +230,23 @@ def blocks(node: Node, pages: int, marked: bool, out: list[list[str]]) -> None:
                 out[-1].append(k)
         elif k.tag == "br":
             out[-1].append(" ")
-        elif not boilerplate(k, marked):
+        elif not boilerplate(k, marked) and (notices or k.tag not in BLOCK or not constant(k, pages)):
             if k.tag in BLOCK:
                 out.append([])
-            blocks(k, pages, marked, out)
+            blocks(k, pages, marked, out, notices)
             if k.tag in BLOCK:
                 out.append([])
 
 
+def text_of(tree: Node, pages: int, notices: bool) -> str:
+    roots, marked = content_roots(tree, pages)
+    out: list[list[str]] = [[]]
+    for root in roots:
+        out.append([])
+        blocks(root, pages, marked, out, notices or not marked)
+    return "\n".join(t for t in (" ".join("".join(b).split()) for b in out) if t)
+
+
 def texts_of(group: list[str]) -> list[str]:
     """The main text of each page of one host."""
     trees = [parse(p) for p in group]
@@ -237,15 +254,9 @@ def texts_of(group: list[str]) -> list[str]:
     different = len(first)
     if different > 1:
         induce(trees, [first[p] for p in group])
-    result = []
-    for tree in trees:
-        roots, marked = content_roots(tree, different)
-        out: list[list[str]] = [[]]
-        for root in roots:
-            out.append([])
-            blocks(root, different, marked, out)
-        result.append("\n".join(t for t in (" ".join("".join(b).split()) for b in out) if t))
-    return result
+    without = [text_of(t, different, False) for t in trees]
+    # fewer articles than that may be copies of one another, whose equal blocks must stay
+    return without if len({t for t in without if t}) >= ARTICLES else [text_of(t, different, True) for t in trees]
 
 
 def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", group_size: int = 16) -> DataFrame:
@@ -253,8 +264,8 @@ def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
 
     Rows are dealt by ranges of (host, hash of url and id), so that a host with
     very many pages is spread over tasks, and each task aligns neighbours of
-    one host in groups of group_size; memory is bounded by one group. Every
-    page takes part. A host with one page, or whose pages are all the same,
+    one host in groups of group_size, the last two of a host made equal so that
+    no page is left over; memory is bounded by two groups. Every page takes part. A host with one page, or whose pages are all the same,
     has no varying slots: there only the names of elements decide. Null and
     empty html give an empty text; null urls form one host; repeated rows are
     each extracted; other columns are ignored; an empty table gives no rows.
@@ -268,21 +279,29 @@ def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
         target = to_arrow_schema(schema)
         ids, urls, group, last = [], [], [], None
 
-        def flush():
-            texts = texts_of(group)
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids).cast(target[0].type), pa.array(urls, pa.string()).cast(target[1].type), pa.array(texts, pa.string()).cast(target[2].type), pa.array([len(t) for t in texts], pa.int64())], schema=target)
+        def flush(n):
+            texts = texts_of(group[:n])
+            out = pa.RecordBatch.from_arrays([pa.concat_arrays(ids[:n]).cast(target[0].type), pa.array(urls[:n], pa.string()).cast(target[1].type), pa.array(texts, pa.string()).cast(target[2].type), pa.array([len(t) for t in texts], pa.int64())], schema=target)
+            del ids[:n], urls[:n], group[:n]
+            return out
+
+        def rest():
+            if len(group) > group_size:
+                yield flush((len(group) + 1) // 2)
+            if group:
+                yield flush(len(group))
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in (1, 2, 3)]
             for i, (url, page, host) in enumerate(zip(*columns)):
-                if group and (host != last or len(group) >= group_size):
-                    yield flush()
-                    ids, urls, group = [], [], []
+                if host != last:
+                    yield from rest()
+                elif len(group) >= 2 * group_size:
+                    yield flush(group_size)
                 last = host
                 ids.append(batch.column(0).slice(i, 1))
                 urls.append(url)
                 group.append(page)
-        if group:
-            yield flush()
+        yield from rest()
 
     return rows.repartitionByRange("bw_host", "bw_h").sortWithinPartitions("bw_host", "bw_h").mapInArrow(run, schema)

@@ -251,3 +251,16 @@ def test_links_of_all_kinds(spark):
     rows = {r.page_id: r for r in urls.judge_urls(df, urls.rule_table(spark), urls.link_edges(df)).collect()}
     assert [rows[i].verdict for i in range(3)] == ["block", "block", "block"]
     assert len({rows[i].alias_of for i in range(3)}) == 1
+
+
+def test_notices_inside_landmarks():
+    """A block on all pages is no part of different articles; copies of one article stay whole."""
+    page = lambda i, a: f"<body><nav>n{i}</nav><article><h1>T{a}</h1><p>Text <b>so</b> {a}</p><div class=x17><p>Read our other site</p></div><p>End {a}</p></article></body>"
+    assert html.texts_of([page(i, i) for i in range(6)]) == [f"T{i}\nText so {i}\nEnd {i}" for i in range(6)]
+    assert html.texts_of([page(i, 1) for i in range(6)]) == ["T1\nText so 1\nRead our other site\nEnd 1"] * 6
+
+
+def test_no_page_is_left_over(spark):
+    page = lambda i: f"<body><div><div>Home of all</div><div><p>Article number {i} has its own long text here</p></div><div>All rights reserved by the site</div></div></body>"
+    df = spark.createDataFrame([(i, f"http://one.org/{i}", page(i)) for i in range(17)], "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id: r.text for r in html.main_text(df).collect()} == {i: f"Article number {i} has its own long text here" for i in range(17)}
