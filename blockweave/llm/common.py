@@ -44,13 +44,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def stage_dir(spark: SparkSession) -> str:
-    """A new folder in the shared place the cluster names in spark.checkpoint.dir.
+#: Bytes that a broadcast table may hold; what is larger is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for a broadcast if its rows, counted, stay below the limit at row_bytes each; else df."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+PREFIX = "blockweave-"
 
-    Where that is unset, as in tests, the warehouse folder stands in.
+
+def shared_root(spark: SparkSession) -> str:
+    """The shared place the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a local session takes its warehouse folder. A cluster's
+    executors may share no such folder, so there the setting must be given.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/blockweave-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return root.rstrip("/")
+
+
+def stage_dir(spark: SparkSession) -> str:
+    """A new folder in the shared place."""
+    return f"{shared_root(spark)}/{PREFIX}{uuid.uuid4().hex}"
 
 
 def materialize(spark: SparkSession, df: DataFrame, at: str, name: str) -> DataFrame:
@@ -60,3 +82,37 @@ def materialize(spark: SparkSession, df: DataFrame, at: str, name: str) -> DataF
     """
     df.write.mode("overwrite").parquet(f"{at}/{name}")
     return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+
+def _files(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def discard(spark: SparkSession, at: str, names: Iterable[str] | None = None, keep: Iterable[str] = ()) -> None:
+    """Deletes tables below a stage folder: those named, or all but those in keep."""
+    fs, path = _files(spark, at)
+    if not fs.exists(path):
+        return
+    keep = set(keep)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if names is None else list(names)
+    for name in names:
+        if name not in keep:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{name}"), True)
+
+
+def sweep(spark: SparkSession, older_than_s: float) -> list[str]:
+    """Deletes the stage folders below the shared place that nothing has touched for so long; their names.
+
+    A result reads its last tables until it is written, so give the longest time a job may take.
+    """
+    import time
+
+    fs, path = _files(spark, shared_root(spark))
+    gone = []
+    for s in fs.listStatus(path) if fs.exists(path) else []:
+        name = s.getPath().getName()
+        if name.startswith(PREFIX) and s.getModificationTime() < (time.time() - older_than_s) * 1000:
+            fs.delete(s.getPath(), True)
+            gone.append(name)
+    return gone

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, stage_dir
+from .common import discard, materialize, stage_dir
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -34,18 +34,20 @@ def _is_forest(edges: DataFrame) -> bool:
     return not per.agg(F.bool_or((F.col("low") > 1) | ((F.col("low") > 0) & (F.col("top") > 0)))).first()[0]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, at: str | None = None, name: str = "components") -> DataFrame:
     """node, component (its smallest reachable node) for all nodes of edges (a, b).
 
     Alternates the two star operations until the edges form stars, which takes
     rounds in the order of the logarithm of the longest path. Every round is
-    written to the shared folder; only a yes or no reaches the driver. Null
-    ends and loops are ignored; an empty table gives no rows.
+    written to the shared folder and the one before it deleted; only a yes or no
+    reaches the driver. Null ends and loops are ignored; an empty table gives
+    no rows.
     """
-    spark, at = edges.sparkSession, stage_dir(edges.sparkSession)
+    spark, at = edges.sparkSession, at or stage_dir(edges.sparkSession)
     clean = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now, k = materialize(spark, clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), at, "edges-0"), 0
+    now, k = materialize(spark, clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), at, f"{name}-0"), 0
     while not _is_forest(now):
         k += 1
-        now = _star(now, at, f"edges-{k}")
+        now = _star(now, at, f"{name}-{k}")
+        discard(spark, at, [f"{name}-{k - 1}", *[f"{name}-{k}-{x}" for x in ("large", "down", "small")]])
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
