@@ -109,13 +109,14 @@ def bucket_sizes(rows: DataFrame) -> DataFrame:
     return several.where("a <> b").select("bucket", "c")
 
 
-def shared_buckets(rows: DataFrame, at: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+def shared_buckets(rows: DataFrame, at: str, limit: int = BROADCAST_BYTES, counted: DataFrame | None = None) -> DataFrame:
     """The rows (bucket, id, ...) whose bucket holds another id, with c, the rows of the bucket.
 
     rows is gone through twice rather than written: most buckets hold one id.
+    counted, if given, is the same rows for the first time, with no other columns.
     """
     spark = rows.sparkSession
-    several = materialize(spark, bucket_sizes(rows), at, "several")
+    several = materialize(spark, bucket_sizes(rows if counted is None else counted), at, "several")
     return materialize(spark, rows.join(small(several, ID_BYTES, limit), "bucket"), at, "buckets")
 
 

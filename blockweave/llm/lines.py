@@ -10,14 +10,19 @@ are compared by a bit-parallel edit distance over the band of 2t + 1 diagonals.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from os.path import commonprefix
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from .blocking import Links, link_in_buckets, shared_buckets
-from .common import map_batches, materialize, stage_dir
+from .blocking import ID_BYTES, Links, link_in_buckets, shared_buckets
+from .common import BROADCAST_BYTES, discard, map_batches, materialize, small, stage_dir
 
 
 def segments(length: int, t: int) -> list[tuple[int, int]]:
@@ -118,43 +123,177 @@ def edit_test(t: int):
 BLANK = " \t\x0b\x0c\r"
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc, print (of the text), line (number), h, g (two hashes of the trimmed line) for lines of min_chars or more."""
+M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Base of the polynomial hash of substrings, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+UNBASE = pow(BASE, -1, 1 << 64)
+#: Code points that are hashed at a time.
+CHUNK = 1 << 18
+
+
+@functools.lru_cache(maxsize=2)
+def powers(base: int) -> np.ndarray:
+    """base ** k modulo 2**64 for k up to CHUNK."""
+    out = np.full(CHUNK + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def rolled(codes: np.ndarray, spans: list[tuple[int, int]]) -> list[int]:
+    """The polynomial hashes of spans (start, size) of a text of any length, a chunk at a time."""
+    out = []
+    for start, size in spans:
+        total = 0
+        for at in range(0, size, CHUNK):
+            part = codes[start + at : start + min(size, at + CHUNK)].astype(np.uint64) + np.uint64(1)
+            total += int(np.sum(part * powers(BASE)[: len(part)], dtype=np.uint64)) * pow(BASE, at, 1 << 64)
+        out.append(total & (1 << 64) - 1)
+    return out
+
+
+class Prober:
+    """Hashed substrings of lines, offered and looked up, for many lines at once."""
+
+    def __init__(self, t: int):
+        self.t, self.plans = t, {}
+
+    def plan(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, sizes and tags (other length and segment) of the substrings of a line of n code points."""
+        found = self.plans.get(n)
+        if found is None:
+            if len(self.plans) > 5000:
+                self.plans.clear()
+            # what is offered is also looked up, at the line's own length and place
+            other, segment, start, size = np.array(probes(n, self.t), dtype=np.int64).T
+            found = self.plans[n] = start, size, ((other * (self.t + 1) + segment) * 0x2545F4914F6CDD1D).astype(np.uint64)
+        return found
+
+    def buckets(self, bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of all bodies, and the number of the body that each belongs to."""
+        hashes, tags, owners, held, total = [], [], [], [], 0
+
+        def flush():
+            nonlocal total
+            if not held:
+                return
+            codes = np.frombuffer("".join([bodies[k] for k in held]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            plans = [self.plan(len(bodies[k])) for k in held]
+            counts = [len(p[0]) for p in plans]
+            starts = np.repeat(np.cumsum([0, *[len(bodies[k]) for k in held[:-1]]]), counts) + np.concatenate([p[0] for p in plans])
+            ends = starts + np.concatenate([p[1] for p in plans])
+            sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(BASE)[: len(codes)], out=sums[1:])
+            hashes.append((sums[ends] - sums[starts]) * powers(UNBASE)[starts])
+            tags.append(np.concatenate([p[2] for p in plans]))
+            owners.append(np.repeat(held, counts))
+            held.clear()
+            total = 0
+
+        for k, body in enumerate(bodies):
+            if len(body) > CHUNK:
+                start, size, tag = self.plan(len(body))
+                codes = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                hashes.append(np.array(rolled(codes, list(zip(start.tolist(), size.tolist()))), dtype=np.uint64))
+                tags.append(tag)
+                owners.append(np.full(len(tag), k))
+                continue
+            if total + len(body) > CHUNK:
+                flush()
+            held.append(k)
+            total += len(body)
+        flush()
+        if not hashes:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        z = np.concatenate(hashes) + np.concatenate(tags)
+        for shift, factor in ((30, M1), (27, M2)):
+            z = (z ^ (z >> np.uint64(shift))) * factor
+        return (z ^ (z >> np.uint64(31))).view(np.int64), np.concatenate(owners)
+
+
+def bodies_of(text: str | None, least: int) -> list[tuple[int, str]]:
+    """(line number, line without blanks at its ends) of the lines of at least so many code points."""
+    return [(i, b) for i, x in enumerate(text.split("\n")) if len(b := x.strip(BLANK)) >= least] if text else []
+
+
+def names_of(bodies: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each line: a name of 63 bits or fewer, and one that tells lines of one name apart."""
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(b.encode("utf-8", "surrogatepass")) for b in bodies]), dtype="<i8").reshape(-1, 2)
+    return both[:, 0] & ((1 << bits) - 1), both[:, 1]
+
+
+def with_print(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(BLANK)).alias("body")))
-    rows = docs.where(text.isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("print"), F.inline(F.filter(lines, lambda x: F.length(x["body"]) >= min_chars)))
-    return rows.select("doc", "print", "line", F.xxhash64("body").alias("h"), F.xxhash64("body", F.lit(1)).alias("g"), "body")
+    return docs.where(text.isNotNull()).select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("print"), text.alias("text"))
 
 
-def probe_rows(lines: DataFrame, t: int) -> DataFrame:
-    """bucket, id: the hashed substrings of each line (h, body), offered and looked up."""
-    from xxhash import xxh64_intdigest
+def from_lines(rows: DataFrame, least: int, bits: int, make: Callable, fields: list[StructField], placed: bool = True) -> DataFrame:
+    """The columns that make()'s function gives for the lines of a batch of rows (doc, print, text), if placed after doc and print.
 
-    schema = StructType([StructField("id", LongType()), StructField("buckets", ArrayType(LongType(), False))])
+    The function gets lists of line numbers and bodies and their two names, and
+    returns for each of its output rows the number of the line, and the columns.
+    """
+    kind = rows.schema["doc"].dataType
+    schema = StructType([*[StructField("doc", kind), StructField("print", LongType())] * placed, *fields])
 
-    def make():
-        plans: dict[int, list] = {}
+    def build():
+        run = make()
 
         def step(batch):
-            found = []
-            for body in batch.column(1).to_pylist():
-                n = len(body)
-                plan = plans.get(n)
-                if plan is None:
-                    if len(plans) > 5000:
-                        plans.clear()
-                    # what is offered is also looked up, at the line's own length and place
-                    plan = plans[n] = [(f"{other}:{i}:", start, start + size) for other, i, start, size in probes(n, t)]
-                found.append(list({xxh64_intdigest(head + body[a:b]) - (1 << 63) for head, a, b in plan}))
-            return [batch.column(0), found]
+            owner, numbers, bodies = [], [], []
+            for k, text in enumerate(batch.column(2).to_pylist()):
+                found = bodies_of(text, least)
+                owner += [k] * len(found)
+                numbers += [x[0] for x in found]
+                bodies += [x[1] for x in found]
+            if not bodies:
+                return [pa.array([], type=f.type) for f in to_arrow_schema(schema)]
+            lines, columns = run(numbers, bodies, *names_of(bodies, bits))
+            if not placed:
+                return columns
+            places = pa.array(np.array(owner)[lines])
+            return [batch.column(0).take(places), batch.column(1).take(places), *columns]
 
         return step
 
-    return map_batches(lines, schema, make).select(F.explode("buckets").alias("bucket"), "id")
+    return map_batches(rows, schema, build)
+
+
+def line_names(rows: DataFrame, least: int, bits: int) -> DataFrame:
+    """doc, print, line, id, g of all lines."""
+
+    def make():
+        return lambda numbers, bodies, h, g: (np.arange(len(bodies)), [np.array(numbers, dtype=np.int32), h, g])
+
+    return from_lines(rows, least, bits, make, [StructField("line", IntegerType()), StructField("id", LongType()), StructField("g", LongType())])
+
+
+def probe_rows(rows: DataFrame, t: int, least: int, bits: int, placed: bool, told: bool) -> DataFrame:
+    """bucket, id, if told g: the buckets of all lines, if placed after doc and print."""
+
+    def make():
+        prober = Prober(t)
+
+        def run(numbers, bodies, h, g):
+            buckets, lines = prober.buckets(bodies)
+            return lines, [buckets, h[lines], *[g[lines]] * told]
+
+        return run
+
+    fields = [StructField("bucket", LongType()), StructField("id", LongType()), *[StructField("g", LongType())] * told]
+    return from_lines(rows, least, bits, make, fields, placed)
+
+
+def line_texts(rows: DataFrame, least: int, bits: int) -> DataFrame:
+    """doc, print, id, g, body of all lines."""
+
+    def make():
+        return lambda numbers, bodies, h, g: (np.arange(len(bodies)), [h, g, bodies])
+
+    return from_lines(rows, least, bits, make, [StructField("id", LongType()), StructField("g", LongType()), StructField("body", StringType())])
 
 
 def line_prints(lines: DataFrame) -> DataFrame:
-    """id, n: length and parities of each line (h, body)."""
+    """id, n: length and parities of each line (bw_id, bw_text)."""
     schema = StructType([StructField("id", LongType()), StructField("len", LongType()), StructField("low", LongType()), StructField("high", LongType())])
 
     def make():
@@ -165,53 +304,104 @@ def line_prints(lines: DataFrame) -> DataFrame:
 
         return step
 
-    return map_batches(lines, schema, make).select("id", F.struct("len", "low", "high").alias("n"))
+    return map_batches(lines.select("bw_id", "bw_text"), schema, make).select("id", F.struct("len", "low", "high").alias("n"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str, text_col: str, t: int, min_chars: int, rounds: int, at: str, broadcast_ids: int = 500_000, exact_chars: int | None = None) -> DataFrame:
-    """doc, print, drop: the numbers of the lines that repeat an earlier line, for documents that have any.
+def print_parts(rest: DataFrame, t: int) -> DataFrame:
+    """bucket, id, n, size, comp: the rows of rest cut up by parts of their prints.
 
-    Lines of min_chars or more meet in the edit join; shorter ones, down to
-    exact_chars, only in their names, so that equal ones are one group. Lines are named by a 64-bit hash; lines of which a different line has the
-    same name, as a second hash tells, are left alone.
+    Prints of lines within distance t differ in at most 4 * t bits, so that of
+    4 * t + 1 parts one at least is the same.
     """
-    spark = docs.sparkSession
-    rows = line_rows(docs, id_col, text_col, min_chars if exact_chars is None else min(exact_chars, min_chars))
-    joined = rows.where(F.length("body") >= min_chars)
-    classes = rows.groupBy("h").agg(F.min("g").alias("g"), F.max("g").alias("g2"), F.min(F.struct("doc", "print", "line")).alias("first"), F.count(F.lit(1)).alias("c"))
-    classes = materialize(spark, classes, at, "classes")
-    buckets = shared_buckets(probe_rows(joined.select("h", "body"), t), at, distinct=True)
-    ids = materialize(spark, buckets.select(F.col("id").alias("bw_id")).distinct(), at, "ids")
-    wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    # each line that shares a bucket is written once; later rounds never read the documents again
-    texts = joined.select(F.col("h").alias("bw_id"), F.col("body").alias("bw_text")).join(wanted, "bw_id", "left_semi")
-    texts = materialize(spark, texts.dropDuplicates(["bw_id"]), at, "texts")
-    prints = line_prints(texts.select(F.col("bw_id").alias("id"), F.col("bw_text").alias("body")))
-    buckets = materialize(spark, buckets.join(prints, "id"), at, "printed")
+    parts = 4 * t + 1
+    masks = [(sum(1 << b for b in range(64) if b % parts == k), sum(1 << b for b in range(64) if (b + 64) % parts == k)) for k in range(parts)]
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
+    keys = [F.xxhash64("bucket", F.lit(k), F.col("n.low").bitwiseAND(signed(a)), F.col("n.high").bitwiseAND(signed(b))) for k, (a, b) in enumerate(masks)]
+    return rest.select(F.explode(F.array(*keys)).alias("bucket"), "id", "n", F.col("n.len").alias("size"), "comp")
+
+
+def told_apart(names: DataFrame, at: str) -> tuple[DataFrame, DataFrame | None]:
+    """id, c of the names that several lines have; and, where different lines share one, id, g, new: other names for them.
+
+    New names are negative, which no hash is.
+    """
+    spark = names.sparkSession
+    several = names.groupBy("id").agg(F.min("g").alias("a"), F.max("g").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    several = materialize(spark, several, at, "names")
+    clash = several.where("a <> b").select("id")
+    if clash.isEmpty():
+        return several.select("id", "c"), None
+    each = materialize(spark, names.join(clash, "id", "left_semi").groupBy("id", "g").agg(F.count(F.lit(1)).alias("c")).withColumn("new", -1 - F.monotonically_increasing_id()), at, "renamed")
+    alike = several.where("a = b").select("id", "c").unionAll(each.where("c > 1").select(F.col("new").alias("id"), "c"))
+    return alike, each.select("id", "g", "new")
+
+
+def renamed(rows: DataFrame, new: DataFrame | None) -> DataFrame:
+    """rows (id, g, ...) with the new names, without g; without new names rows need no g."""
+    if new is None:
+        return rows.drop("g")
+    return rows.join(small(new, ID_BYTES), ["id", "g"], "left").withColumn("id", F.coalesce("new", "id")).drop("g", "new")
+
+
+def line_links(rows: DataFrame, new: DataFrame | None, t: int, least: int, bits: int, rounds: int, at: str) -> DataFrame:
+    """node, component of the lines of at least so many code points that are within t edits of another."""
+    spark = rows.sparkSession
+    probed = lambda placed: renamed(probe_rows(rows, t, least, bits, placed, new is not None), new)
+    buckets = shared_buckets(probed(True), at, counted=probed(False))
+    # each line that shares a bucket is written once, from one document that has it
+    places = buckets.groupBy("id").agg(F.min(F.struct("doc", "print")).alias("p")).select("id", "p.doc", "p.print")
+    places = materialize(spark, places, at, "places")
+    sources = places.select(F.col("doc").alias("d"), F.col("print").alias("p")).distinct()
+    held = rows.join(small(sources, 2 * ID_BYTES), F.col("doc").eqNullSafe(F.col("d")) & (F.col("print") == F.col("p")), "left_semi")
+    texts = renamed(line_texts(held, least, bits), new).join(places.select("id"), "id", "left_semi")
+    texts = materialize(spark, texts.select(F.col("id").alias("bw_id"), F.col("body").alias("bw_text")).dropDuplicates(["bw_id"]), at, "texts")
+    buckets = buckets.select("bucket", "id", "c").distinct().join(line_prints(texts), "id")
+    buckets = materialize(spark, buckets, at, "printed")
     fits = F.expr(f"abs(n.len - m.len) <= {int(t)} AND bit_count(n.low ^ m.low) + bit_count(n.high ^ m.high) <= {4 * int(t)}")
-    comps = link_in_buckets(buckets, fits, Links(texts, edit_test(t), at), least_shared=1, rounds=rounds, at=at)
-    grouped = classes.where("g = g2").join(comps.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    firsts = grouped.groupBy("component").agg(F.min("first").alias("first"), F.sum("c").alias("n")).where("n > 1")
-    firsts = materialize(spark, firsts.select("component", "first"), at, "firsts")
-    known = materialize(spark, grouped.select("h", "component").join(firsts, "component").select("h", "first"), at, "known")
-    places = rows.select("doc", "print", "line", "h").join(known, "h").where(~F.struct("doc", "print", "line").eqNullSafe(F.col("first")))
-    return materialize(spark, places.groupBy("doc", "print").agg(F.collect_set("line").alias("drop")), at, "drops")
+    links = Links(spark, lambda ids: texts.join(ids, "bw_id", "left_semi"), edit_test(t), at)
+    return link_in_buckets(buckets, fits, links, at, 1, lambda rest: print_parts(rest, t), fits, rounds=rounds)
 
 
-def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", t: int = 2, min_chars: int = 30, rounds: int = 4, broadcast_docs: int = 200_000, exact_chars: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, t: int, edit_chars: int, least: int, rounds: int, at: str, bits: int = 63) -> DataFrame:
+    """doc, print, drop: the numbers of the lines that repeat an earlier line, for documents that have any.
+
+    Lines are named by 63 bits of a hash; the few whose name another line has
+    too, as 64 more bits tell, get other names.
+    """
+    spark = docs.sparkSession
+    rows = with_print(docs, id_col, text_col)
+    names = line_names(rows, least, bits)
+    several, new = told_apart(names, at)
+    comps = line_links(rows, new, t, max(edit_chars, least), bits, rounds, at).select(F.col("node").alias("id"), F.col("component").alias("comp"))
+    known = several.select("id").join(comps, "id", "full").select("id", F.coalesce("comp", "id").alias("comp"))
+    known = materialize(spark, known, at, "known")
+    places = materialize(spark, renamed(names, new).join(small(known, ID_BYTES), "id").select("doc", "print", "line", "comp"), at, "repeats")
+    firsts = places.groupBy("comp").agg(F.min(F.struct("doc", "print", "line")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = places.join(small(firsts.select("comp", "first"), 2 * ID_BYTES), "comp").where(~F.struct("doc", "print", "line").eqNullSafe(F.col("first")))
+    drops = materialize(spark, gone.groupBy("doc", "print").agg(F.collect_set("line").alias("drop")), at, "drops")
+    discard(spark, at, keep=("drops",))
+    return drops
+
+
+def dedup_lines(docs: DataFrame, id_col="doc_id", text_col="text", t: int = 2, edit_chars: int = 30, exact_chars: int = 1, rounds: int = 2, limit: int = BROADCAST_BYTES, bits: int = 63) -> DataFrame:
     """The rows of docs with repeated lines cut out of the text, and bw_dropped, how many.
 
     A line is what stands between line feeds, without blanks at its ends. Lines
     within edit distance t of each other, in any number of steps, are one
     group; its first line, by document id, text and line number, stays and the
-    others go. Lines of fewer than min_chars code points do not take part in
-    that: with exact_chars, those of at least so many form groups of equal
-    lines, and shorter ones stay; without, all of them stay. Null texts stay null; null ids come first; rows that repeat id and text count as
-    one document; other columns are passed on; an empty table stays empty.
+    others go. That holds for lines of edit_chars code points or more; shorter
+    ones, down to exact_chars, form groups of equal lines, because two edits
+    make different short lines equal. Blank lines stay. Null texts stay null;
+    null ids come first; rows that repeat id and text count as one document;
+    texts and lines may be of any length; other columns are passed on; an empty
+    table stays empty.
     """
-    drops = repeated_lines(docs, id_col, text_col, t, min_chars, rounds, stage_dir(docs.sparkSession), exact_chars=exact_chars)
+    if edit_chars <= t:
+        raise ValueError("lines of the edit join need more code points than edits")
+    drops = repeated_lines(docs, id_col, text_col, t, edit_chars, max(1, exact_chars), rounds, stage_dir(docs.sparkSession), bits)
+    bytes_ = drops.agg(F.sum(64 + 8 * F.size("drop"))).first()[0] or 0
     drops = drops.select(F.col("doc").alias("bw_doc"), F.col("print").alias("bw_print"), F.col("drop").alias("bw_drop"))
-    if drops.count() <= broadcast_docs:
+    if bytes_ <= limit:
         drops = F.broadcast(drops)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("bw_row"), F.col(text_col).cast("string").alias("bw_text"))
     same = F.col(f"bw_row.`{id_col}`").eqNullSafe(F.col("bw_doc")) & (F.xxhash64("bw_text") == F.col("bw_print"))

@@ -56,7 +56,7 @@ def plain_dedup(rows, t, least):
     for k, (doc, text) in enumerate(rows):
         for i, x in enumerate((text or "").split("\n")):
             x = x.strip(lines.BLANK)
-            if text is not None and len(x) >= least:
+            if text is not None and x:
                 entries.append((doc, i, x))
     kinds = sorted({x for _, _, x in entries})
     up = {x: x for x in kinds}
@@ -68,7 +68,7 @@ def plain_dedup(rows, t, least):
 
     for i, a in enumerate(kinds):
         for b in kinds[i + 1 :]:
-            if abs(len(a) - len(b)) <= t and distance(a, b) <= t:
+            if min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= t and distance(a, b) <= t:
                 up[find(a)] = find(b)
     first = {}
     for doc, i, x in sorted(entries):
@@ -91,11 +91,13 @@ def test_lines(spark):
             out.append(r.choice(["", " ", "\t"]) + x)
         texts.append("\n".join(out))
     df = docs(spark, texts, line=1, h=2, bw_drop="x")
-    out = lines.dedup_lines(df, t=2, min_chars=8, rounds=2)
-    assert out.columns == [*df.columns, "bw_dropped"]
-    got = {x.doc_id: x.text for x in out.collect()}
-    assert got == plain_dedup(list(enumerate(texts)), 2, 8)
-    report = {x.doc_id: x for x in lines.dedup_report(df, t=2, min_chars=8).collect()}
+    want = plain_dedup(list(enumerate(texts)), 2, 8)
+    for options in ({}, {"bits": 5}, {"limit": 0, "rounds": 0}):  # names that clash; no broadcast and no hubs among parts
+        out = lines.dedup_lines(df, t=2, edit_chars=8, **options)
+        assert out.columns == [*df.columns, "bw_dropped"]
+        got = {x.doc_id: x.text for x in out.collect()}
+        assert got == want, options
+    report = {x.doc_id: x for x in lines.dedup_report(df, t=2, edit_chars=8).collect()}
     assert all(report[i].n_lines - report[i].n_dropped == len(got[i].split("\n")) for i in got if got[i])
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
@@ -114,7 +116,7 @@ def test_short_lines(spark, sf):
     from blockweave.llm.queries import QUERIES
 
     texts = ["All rights reserved.\n\nYes\n}", " All rights reserved.\t\n\nYess\n}", "All rights reserved!\nYes", "one line that is long enough for the join\nx", "one line that is long enough for the joins\nx", None]
-    got = {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, texts), exact_chars=1).collect()}
+    got = {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, texts)).collect()}
     assert got == {0: texts[0], 1: "\nYess", 2: "All rights reserved!", 3: texts[3], 4: "", 5: None}
     report = {x.doc_id: x.n_dropped for x in QUERIES["op10_line_dedup"](spark, sf).collect()}
     seen, short = set(), {}
@@ -125,3 +127,21 @@ def test_short_lines(spark, sf):
                 short[r.doc_id] = short.get(r.doc_id, 0) + (x in seen)
                 seen.add(x)
     assert sum(short.values()) > 0 and all(report[i] >= n for i, n in short.items())
+
+
+def test_buckets_of_many_lines_at_once():
+    """Equal substrings at the places of probes() meet, and hardly others; lines beyond a chunk are hashed alike."""
+    r = random.Random(8)
+    bodies = ["".join(r.choice("abé𝔘") for _ in range(r.randrange(3, 60))) for _ in range(200)]
+    prober = lines.Prober(2)
+    whole, owner = prober.buckets(bodies)
+    seen = {}
+    for k, b in enumerate(bodies):
+        assert whole[owner == k].tolist() == prober.buckets([b])[0].tolist()
+        for z, (other, i, start, size) in zip(whole[owner == k].tolist(), lines.probes(len(b), 2)):
+            assert seen.setdefault(z, (other, i, b[start : start + size])) == (other, i, b[start : start + size])
+    assert len(seen) == len(set(seen.values()))
+    long = "".join(r.choice("abcdefgh ") for _ in range(lines.CHUNK + 5000))
+    near = long[: 40_000] + "#" + long[40_000:]
+    (p, _), (q, _) = prober.buckets([long]), prober.buckets(["x" * 40, near])
+    assert set(p.tolist()) & set(q.tolist()) and not set(p.tolist()) & set(prober.buckets([long[::-1]])[0].tolist())

@@ -15,7 +15,7 @@ from util import docs
 def plain_lines(rows, t=2, least=30):
     """As the plain dedup of test_lines, with the tested banded distance."""
     entries = [(doc, i, x.strip(lines.BLANK)) for doc, text in rows for i, x in enumerate((text or "").split("\n"))]
-    entries = [e for e in entries if len(e[2]) >= least]
+    entries = [e for e in entries if e[2]]
     kinds, up = sorted({x for _, _, x in entries}, key=len), {}
 
     def find(x):
@@ -27,7 +27,7 @@ def plain_lines(rows, t=2, least=30):
         for b in kinds[i + 1 :]:
             if len(b) - len(a) > t:
                 break
-            if lines.within(a, b, t):
+            if len(a) >= least and lines.within(a, b, t):
                 up[find(a)] = find(b)
     first = {}
     for doc, i, x in sorted(entries):
