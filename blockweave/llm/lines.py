@@ -10,7 +10,6 @@ are compared by a bit-parallel edit distance over the band of 2t + 1 diagonals.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 from os.path import commonprefix
 
@@ -23,6 +22,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from .blocking import ID_BYTES, Links, link_in_buckets, shared_buckets
 from .common import BROADCAST_BYTES, discard, map_batches, materialize, small, stage_dir
+from .rolling import CHUNK, code_points, long_hash, scatter, span_hashes
 
 
 def segments(length: int, t: int) -> list[tuple[int, int]]:
@@ -123,34 +123,6 @@ def edit_test(t: int):
 BLANK = " \t\x0b\x0c\r"
 
 
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Base of the polynomial hash of substrings, and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-UNBASE = pow(BASE, -1, 1 << 64)
-#: Code points that are hashed at a time.
-CHUNK = 1 << 18
-
-
-@functools.lru_cache(maxsize=2)
-def powers(base: int) -> np.ndarray:
-    """base ** k modulo 2**64 for k up to CHUNK."""
-    out = np.full(CHUNK + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def rolled(codes: np.ndarray, spans: list[tuple[int, int]]) -> list[int]:
-    """The polynomial hashes of spans (start, size) of a text of any length, a chunk at a time."""
-    out = []
-    for start, size in spans:
-        total = 0
-        for at in range(0, size, CHUNK):
-            part = codes[start + at : start + min(size, at + CHUNK)].astype(np.uint64) + np.uint64(1)
-            total += int(np.sum(part * powers(BASE)[: len(part)], dtype=np.uint64)) * pow(BASE, at, 1 << 64)
-        out.append(total & (1 << 64) - 1)
-    return out
-
-
 class Prober:
     """Hashed substrings of lines, offered and looked up, for many lines at once."""
 
@@ -176,14 +148,12 @@ class Prober:
             nonlocal total
             if not held:
                 return
-            codes = np.frombuffer("".join([bodies[k] for k in held]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            codes = code_points("".join([bodies[k] for k in held]))
             plans = [self.plan(len(bodies[k])) for k in held]
             counts = [len(p[0]) for p in plans]
             starts = np.repeat(np.cumsum([0, *[len(bodies[k]) for k in held[:-1]]]), counts) + np.concatenate([p[0] for p in plans])
             ends = starts + np.concatenate([p[1] for p in plans])
-            sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(BASE)[: len(codes)], out=sums[1:])
-            hashes.append((sums[ends] - sums[starts]) * powers(UNBASE)[starts])
+            hashes.append(span_hashes(codes, starts, ends))
             tags.append(np.concatenate([p[2] for p in plans]))
             owners.append(np.repeat(held, counts))
             held.clear()
@@ -192,8 +162,8 @@ class Prober:
         for k, body in enumerate(bodies):
             if len(body) > CHUNK:
                 start, size, tag = self.plan(len(body))
-                codes = np.frombuffer(body.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                hashes.append(np.array(rolled(codes, list(zip(start.tolist(), size.tolist()))), dtype=np.uint64))
+                codes = code_points(body)
+                hashes.append(np.array([long_hash(codes[a : a + n]) for a, n in zip(start.tolist(), size.tolist())], dtype=np.uint64))
                 tags.append(tag)
                 owners.append(np.full(len(tag), k))
                 continue
@@ -204,10 +174,7 @@ class Prober:
         flush()
         if not hashes:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        z = np.concatenate(hashes) + np.concatenate(tags)
-        for shift, factor in ((30, M1), (27, M2)):
-            z = (z ^ (z >> np.uint64(shift))) * factor
-        return (z ^ (z >> np.uint64(31))).view(np.int64), np.concatenate(owners)
+        return scatter(np.concatenate(hashes) + np.concatenate(tags)).view(np.int64), np.concatenate(owners)
 
 
 def bodies_of(text: str | None, least: int) -> list[tuple[int, str]]:

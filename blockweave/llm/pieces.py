@@ -3,22 +3,22 @@
 The lattice of a text holds every vocabulary piece that matches at every
 place. Forward filtering sums the weights of all paths up to each place;
 backward sampling draws the pieces from the end, each in proportion to the
-weight of the paths it closes. Draws come from a counter-based hash of the
-row key, the seed and the place, so a row is segmented alike on every run and
-any executor.
+weight of the paths it closes. The draw at a place is a hash of the row key, the
+seed and the place, so a row is segmented alike on every run and any executor.
 
 Where no piece holds two neighbouring characters, no path crosses between them:
-a text is cut there, units (mostly words) are sampled on their own, and what a
-unit's draws gave is kept and used again. Characters outside the vocabulary become byte
-pieces, and so does a space mark that stands in the text itself, so that
-decoding gives back every text.
+a text is cut there into units, mostly words. Many texts are worked on at once:
+the tables of each different unit of a chunk are made in one go, and all its
+occurrences draw from them side by side. Nothing is kept between chunks.
+Characters outside the vocabulary become byte pieces, and so does a space mark
+that stands in the text itself, so that decoding gives back every text.
 """
 
 from __future__ import annotations
 
 import functools
 import math
-from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,207 +26,294 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import map_batches
+from .rolling import CHUNK, code_points, scatter, span_hashes
 
 #: The mark that stands for a space in pieces.
 MARK = "▁"
-#: How near to the end of a known interval a draw is worked out again.
-EDGE = 1e-12
-#: Code points below this are looked up in a square table.
-WIDE = 1024
-M1, M2, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
-
-def uniforms(key: int, seed: int, n: int) -> np.ndarray:
-    """n numbers in [0, 1) for a row, the k-th from the hash of (key, seed, k)."""
-    z = np.arange(n, dtype=np.uint64) * GOLDEN + np.uint64((key * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF)
-    for _ in range(2):
-        z ^= z >> np.uint64(30)
-        z *= M1
-        z ^= z >> np.uint64(27)
-        z *= M2
-        z ^= z >> np.uint64(31)
+#: Units of up to so many code points are worked on side by side, in tables of these widths; longer ones alone.
+WIDTHS = (1, 2, 4, 8, 16, 32, 64)
+#: Numbers that a table may hold.
+TABLE = 1 << 21
+#: Code points of a longer unit that are held at a time.
+STRETCH = 1 << 14
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Stands in the output where no piece begins; -2 - c and below for the bytes of character c.
+NONE = -1
+
+
+def row_key(key: int, seed: int) -> np.uint64:
+    mixed = scatter(np.array([(key * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))
+    return mixed[0]
+
+
+def draws(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) for each row key and place."""
+    z = scatter(scatter(keys + places.astype(np.uint64) * GOLDEN) + GOLDEN)
     return (z >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
 class Lattice:
-    """Pieces of a model and the sampling tables of words."""
+    """The pieces of a model as arrays, and sampled segmentations of texts."""
 
-    def __init__(self, model: bytes, theta: float, memo_limit: int = 700_000, one_draw: int = 24):
+    def __init__(self, model: bytes, theta: float, widest: int = WIDTHS[-1]):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.widest = widest
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         normal = [i for i, p in enumerate(self.pieces) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.bytes = {int(self.pieces[i][3:-1], 16): i for i in range(len(self.pieces)) if sp.is_byte(i)}
         low = min(sp.get_score(i) for i in normal)
         # scores are ranks: scaled so that the rarest piece weighs exp(-theta), times a price for each piece
         self.weight = {self.pieces[i]: ((i,), math.exp(theta * (sp.get_score(i) / -low - 1.0)) if low else math.exp(-theta)) for i in normal}
-        self.heads = {p[:k] for p in self.weight for k in range(1, len(p) + 1)}
-        self.single = {p.replace(MARK, " ") for p in self.weight if len(p) == 1}
-        # the pieces as a tree of characters; "" leads to a piece's weight and ids
-        self.tree: dict = {}
-        for piece, (ids, weight) in self.weight.items():
-            node = self.tree
-            for c in piece.replace(MARK, " "):
-                node = node.setdefault(c, {})
-            node[""] = (weight, ids)
-        # neighbouring characters that no piece holds: paths never cross between them
-        self.inner = np.zeros((WIDE, WIDE), dtype=bool)
-        self.far = set()
-        for p in self.weight:
-            for x, y in zip(p.replace(MARK, " "), p.replace(MARK, " ")[1:]):
-                if max(ord(x), ord(y)) < WIDE:
-                    self.inner[ord(x), ord(y)] = True
-                else:
-                    self.far.add((ord(x), ord(y)))
         self.byte_weight = math.exp(-2 * theta)
-        self.memo: dict[str, tuple] = {}
-        self.memo_limit, self.one_draw = memo_limit, one_draw
         self.plain = {i: p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)} | {i: bytes([b]) for b, i in self.bytes.items()}
+        shown = [(p.replace(MARK, " "), ids[0], w) for p, (ids, w) in self.weight.items()]
+        self.longest = max(len(p) for p, _, _ in shown)
+        # numbers of the characters of pieces; 0 is any other
+        letters = sorted({c for p, _, _ in shown for c in p})
+        self.letter = np.zeros(0x110000, dtype=np.int64)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.letters = len(letters) + 1
+        # the pieces as a tree: sorted edges node * letters + letter -> node, and each node's piece
+        edges: dict[int, int] = {}
+        ends = [(0, 0.0)]
+        for piece, i, w in shown:
+            node = 0
+            for c in self.letter[[ord(c) for c in piece]].tolist():
+                edge = node * self.letters + c
+                node = edges.get(edge)
+                if node is None:
+                    node = edges[edge] = len(ends)
+                    ends.append((0, 0.0))
+            ends[node] = (i, w)
+        self.edges = np.array(sorted(edges), dtype=np.int64)
+        self.child = np.array([edges[e] for e in self.edges.tolist()], dtype=np.int64)
+        self.end_id = np.array([e[0] for e in ends], dtype=np.int32)
+        self.end_weight = np.array([e[1] for e in ends])
+        # neighbouring characters that some piece holds, among those that stand in any such pair
+        inner = {(x, y) for p, _, _ in shown for x, y in zip(p, p[1:])}
+        paired = sorted({c for pair in inner for c in pair})
+        self.pair = np.zeros(0x110000, dtype=np.int32)
+        self.pair[[ord(c) for c in paired]] = np.arange(1, len(paired) + 1)
+        self.inner = np.zeros((len(paired) + 1, len(paired) + 1), dtype=bool)
+        for x, y in inner:
+            self.inner[self.pair[ord(x)], self.pair[ord(y)]] = True
+
+    def matches(self, letters: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+        """For each piece length less one: the rows and ends in letters (rows x places) where such pieces end, and their nodes."""
+        rows, starts = np.nonzero(np.arange(letters.shape[1]) < lengths[:, None])
+        nodes = np.zeros(len(rows), dtype=np.int64)
+        for k in range(min(self.longest, letters.shape[1])):
+            inside = starts + k < lengths[rows]
+            rows, starts, nodes = rows[inside], starts[inside], nodes[inside]
+            edge = nodes * self.letters + letters[rows, starts + k]
+            at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            known = self.edges[at] == edge
+            rows, starts, nodes = rows[known], starts[known], self.child[at[known]]
+            whole = self.end_weight[nodes] > 0
+            yield rows[whole], starts[whole] + k + 1, k, nodes[whole]
+
+    def tables(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each unit, end and piece length less one: the share of paths up to that end that close with such a piece or a shorter one; and its id."""
+        grid = codes[np.minimum(starts[:, None] + np.arange(width), len(codes) - 1)]
+        letters, k_most = self.letter[grid], min(self.longest, width)
+        # units stand last while sums are made, so that each step runs along them
+        weight = np.zeros((width + 1, k_most, len(starts)))
+        ids = np.full((len(starts), width + 1, k_most), NONE, dtype=np.int32)
+        for rows, ends, k, nodes in self.matches(letters, lengths):
+            weight[ends, k, rows] = self.end_weight[nodes]
+            ids[rows, ends, k] = self.end_id[nodes]
+        places, rows = np.nonzero((weight[1:, 0] == 0) & (np.arange(width)[:, None] < lengths))
+        weight[places + 1, 0, rows] = self.byte_weight
+        ids[rows, places + 1, 0] = -2 - grid[rows, places].astype(np.int32)
+        # forward sums of the last ends, relative to the last one: long units never leave the range of floats
+        recent = np.zeros((k_most, len(starts)))
+        recent[0] = 1.0
+        for end in range(1, width + 1):
+            upto, most = weight[end], min(end, k_most)
+            upto[:most] *= recent[:most]
+            for k in range(1, most):
+                upto[k] += upto[k - 1]
+            upto[most:] = upto[most - 1]
+            total = np.where(upto[-1] > 0, upto[-1], 1.0)
+            upto /= total
+            recent[1 : most + 1] = recent[:most][: k_most - 1] / total
+            recent[0] = 1.0
+        return np.ascontiguousarray(weight.transpose(2, 0, 1)), ids
+
+    def cuts(self, codes: np.ndarray) -> np.ndarray:
+        """Whether a unit begins at each place, from what stands before it."""
+        pair = self.pair[codes]
+        out = np.ones(len(codes), dtype=bool)
+        out[1:] = ~self.inner[pair[:-1], pair[1:]]
+        return out
 
-    def edges(self, unit: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end: (start, weight, ids) of the pieces that end there. Spaces stand for marks."""
-        n = len(unit)
-        out: list[list] = [[] for _ in range(n + 1)]
-        marked = unit.replace(MARK, "\x00").replace(" ", MARK)
-        weight, heads = self.weight, self.heads
-        for start in range(n):
-            for end in range(start + 1, n + 1):
-                part = marked[start:end]
-                if part not in heads:
-                    break
-                found = weight.get(part)
-                if found:
-                    out[end].append((start, found[1], found[0]))
-        for end in range(1, n + 1):
-            if unit[end - 1] not in self.single:
-                ids = tuple(self.bytes[b] for b in unit[end - 1].encode("utf-8", "surrogatepass"))
-                out[end].append((end - 1, self.byte_weight ** len(ids), ids))
+    def sample(self, codes: np.ndarray, first: np.ndarray, keys: np.ndarray, offset: int, begins: np.ndarray) -> np.ndarray:
+        """The piece that begins at each place of texts put together, NONE where none does.
+
+        first are the places where the texts begin and keys their row keys;
+        offset is added to places in the text, begins marks the units.
+        """
+        starts = np.flatnonzero(begins)
+        lengths = np.diff(np.append(starts, len(codes)))
+        owner = np.searchsorted(first, starts, "right") - 1
+        places, keys = starts - first[owner] + offset, keys[owner]
+        out = np.full(len(codes), NONE, dtype=np.int32)
+        short = np.flatnonzero(lengths <= self.widest)
+        _, example, kind = np.unique(span_hashes(codes, starts[short], starts[short] + lengths[short]), return_index=True, return_inverse=True)
+        # equal hashes are no proof: units that differ from their example stand for themselves
+        wrong = lengths[short] != lengths[short][example][kind]
+        near = np.where(wrong, 0, lengths[short])
+        offsets = np.arange(near.sum()) - np.repeat(np.cumsum(near) - near, near)
+        same = codes[np.repeat(starts[short], near) + offsets] == codes[np.repeat(starts[short][example][kind], near) + offsets]
+        wrong[np.repeat(np.arange(len(near)), near)[~same]] = True
+        kind[wrong] = len(example) + np.arange(wrong.sum())
+        example = short[np.concatenate([example, np.flatnonzero(wrong)])]
+        order = np.argsort(kind, kind="stable")
+        bounds = np.searchsorted(kind[order], np.arange(len(example) + 1))
+        width_of = np.searchsorted(WIDTHS, lengths[example])
+        for w, width in enumerate(WIDTHS):
+            of_width = np.flatnonzero(width_of == w)
+            step = max(1, TABLE // ((width + 1) * min(width, self.longest)))
+            for at in range(0, len(of_width), step):
+                some = of_width[at : at + step]
+                upto, ids = self.tables(codes, starts[example[some]], lengths[example[some]], width)
+                counts = bounds[some + 1] - bounds[some]
+                table = np.repeat(np.arange(len(some)), counts)
+                units = short[order[np.repeat(bounds[some], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]]
+                end, start, place, key = lengths[units], starts[units], places[units], keys[units]
+                while len(end):
+                    k = (upto[table, end] <= draws(key, place + end)[:, None]).sum(axis=1)
+                    left = end - 1 - k
+                    out[start + left] = ids[table, end, k]
+                    more = left > 0
+                    table, end, start, place, key = table[more], left[more], start[more], place[more], key[more]
+        for unit in np.flatnonzero(lengths > self.widest).tolist():
+            a, n = int(starts[unit]), int(lengths[unit])
+            out[a : a + n] = self.sample_long(codes[a : a + n], keys[unit], int(places[unit]))
         return out
 
-    def filter(self, word: str) -> list:
-        """For each end, the pieces with cumulated probabilities of closing there: [(upto, start, ids), ...]."""
-        forward, table = [1.0], [None]
-        for here in self.edges(word)[1:]:
-            total, steps = 0.0, []
-            for start, weight, ids in here:
-                total += forward[start] * weight
-                steps.append([total, start, ids])
-            for s in steps:
-                s[0] /= total
-            steps[-1][0] = 1.0
-            forward.append(total)
-            table.append(steps)
-            if total < 1e-200:  # long words: only ratios matter
-                forward = [f * 1e200 for f in forward]
-        return table
-
-    def quick(self, unit: str, u: float) -> tuple[tuple[int, ...], float, float]:
-        """back() for units of up to one_draw vocabulary characters: weights are pushed forward along the tree."""
-        n = len(unit)
-        forward = [1.0] + [0.0] * n
-        steps: list[list] = [[] for _ in range(n + 1)]
-        root = self.tree
-        for start in range(n):
-            so_far, node = forward[start], root
-            for end in range(start, n):
-                node = node.get(unit[end])
-                if node is None:
-                    break
-                piece = node.get("")
-                if piece is not None:
-                    part = so_far * piece[0]
-                    forward[end + 1] += part
-                    steps[end + 1].append((part, start, piece[1]))
-        end, out, low, width = n, [], 0.0, 1.0
-        while end:
-            total = forward[end]
-            target, before = u * total, 0.0
-            for part, start, ids in steps[end]:
-                if target < before + part:
-                    break
-                before += part
-            else:
-                before -= part
-            low, width = low + before / total * width, width * (part / total)
-            u = min(max((target - before) / part, 0.0), 1.0 - 2**-53)
-            out.append(ids)
-            end = start
-        return tuple(i for ids in reversed(out) for i in ids), low, low + width
-
-    def back(self, word: str, u: float) -> tuple[tuple[int, ...], float, float]:
-        """Backward sampling of a word by one number: the ids, and the interval of numbers that give them.
-
-        Each choice takes its share of the interval and hands the rest on. A
-        word too long for that draws a new number for each piece, and its
-        interval is empty.
+    def closing(self, codes: np.ndarray, a: int, b: int) -> list[list[tuple[int, float, int]]]:
+        """(length less one, weight, id) of the pieces that close at each end in a+1 .. b of one unit."""
+        low = max(0, a - self.longest)
+        part = codes[low:b]
+        out: list[list] = [[] for _ in range(b - a)]
+        for _, ends, k, nodes in self.matches(self.letter[part][None, :], np.array([len(part)])):
+            for end, w, i in zip((ends + low - a - 1).tolist(), self.end_weight[nodes].tolist(), self.end_id[nodes].tolist()):
+                if end >= 0:
+                    out[end].append((k, w, i))
+        for end, here in enumerate(out):
+            if not here or here[0][0]:
+                here.insert(0, (0, self.byte_weight, -2 - int(codes[a + end])))
+        return out
+
+    def sample_long(self, codes: np.ndarray, key: np.uint64, place: int) -> np.ndarray:
+        """The same for one unit of any length, a stretch at a time: forward over all, then again from the last to the first."""
+        n = len(codes)
+        out = np.full(n, NONE, dtype=np.int32)
+        recent, kept = [1.0] + [0.0] * (self.longest - 1), []
+
+        def forward(a: int, recent: list[float]) -> tuple[list[float], list[list[tuple[float, int, int]]]]:
+            rows = []
+            for here in self.closing(codes, a, min(n, a + STRETCH)):
+                total, row = 0.0, []
+                for k, w, i in here:
+                    total += recent[k] * w
+                    row.append((total, k, i))
+                rows.append([(upto / total, k, i) for upto, k, i in row])
+                recent = [1.0, *[x / total for x in recent[:-1]]]
+            return recent, rows
+
+        for a in range(0, n, STRETCH):
+            kept.append(recent)
+            recent, _ = forward(a, recent)
+        end = n
+        for a in reversed(range(0, n, STRETCH)):
+            _, rows = forward(a, kept.pop())
+            u = draws(np.full(len(rows), key), place + a + 1 + np.arange(len(rows))).tolist()
+            while end > a:
+                k, i = next((k, i) for upto, k, i in rows[end - a - 1] if upto > u[end - a - 1])
+                end -= 1 + k
+                out[end] = i
+        return out
+
+    def spelled(self, sampled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with bytes in place of other characters, and their places in what sample() gave."""
+        places = np.flatnonzero(sampled != NONE)
+        ids = sampled[places]
+        other = ids < NONE
+        if not other.any():
+            return ids, places
+        codes, kind = np.unique(-2 - ids[other], return_inverse=True)
+        spelt = [[self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in codes.tolist()]
+        counts = np.ones(len(ids), dtype=np.int64)
+        counts[other] = np.array([len(x) for x in spelt])[kind]
+        out, begin = np.repeat(ids, counts), np.cumsum(counts) - counts
+        table = np.array([x + [0] * (4 - len(x)) for x in spelt], dtype=np.int32)
+        for k in range(4):
+            has = counts[other] > k
+            out[begin[other][has] + k] = table[kind[has], k]
+        return out, np.repeat(places, counts)
+
+    def encode_many(self, texts: list[str], keys: list[int], seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of one sampled segmentation of each text, put together, and how many each has.
+
+        A text is led by a space, as the model's own encoder does.
         """
-        table, end, out, low, width = self.filter(word), len(word), [], 0.0, 1.0
-        fresh = iter(uniforms(int(u * 2**53), 1, len(word)).tolist()) if len(word) > self.one_draw else None
-        while end:
-            if fresh:
-                u = next(fresh)
-            before = 0.0
-            for upto, start, ids in table[end]:
-                if u < upto or upto >= 1.0:
+        flat, counts, held, total = [], np.zeros(len(texts), dtype=np.int64), [], 0
+
+        def flush():
+            nonlocal total
+            if held:
+                codes = code_points("".join([" " + texts[k] for k in held]))
+                first = np.cumsum([0, *[len(texts[k]) + 1 for k in held[:-1]]])
+                begins = self.cuts(codes)
+                begins[first] = True
+                ids, places = self.spelled(self.sample(codes, first, np.array([row_key(keys[k], seed) for k in held]), 0, begins))
+                flat.append(ids)
+                counts[held] = np.bincount(np.searchsorted(first, places, "right") - 1, minlength=len(held))
+            held.clear()
+            total = 0
+
+        for k, text in enumerate(texts):
+            if total + len(text) >= CHUNK:
+                flush()
+            if len(text) >= CHUNK:
+                for ids in self.encode_long(text, row_key(keys[k], seed)):
+                    flat.append(ids)
+                    counts[k] += len(ids)
+            elif text:
+                held.append(k)
+                total += len(text) + 1
+        flush()
+        return np.concatenate(flat) if flat else np.zeros(0, np.int32), counts
+
+    def encode_long(self, text: str, key: np.uint64) -> Iterator[np.ndarray]:
+        """The ids of a text beyond a chunk, cut where units begin."""
+        codes = code_points(" " + text)
+        at = 0
+        while at < len(codes):
+            end, reach = len(codes), CHUNK
+            while at + reach < len(codes):
+                cuts = np.flatnonzero(self.cuts(codes[at : at + reach])[1:])
+                if len(cuts):
+                    end = at + 1 + int(cuts[-1])
                     break
-                before = upto
-            share = upto - before
-            low, width = low + before * width, width * share
-            u = min(max((u - before) / share, 0.0), 1.0 - 2**-53) if share > 0.0 else 0.0
-            out.append(ids)
-            end = start
-        path = tuple(i for ids in reversed(out) for i in ids)
-        return path, low, low if fresh else low + width
-
-    def miss(self, word: str, u: float) -> tuple[int, ...]:
-        short = len(word) <= self.one_draw and self.single.issuperset(word)
-        path, low, high = self.quick(word, u) if short else self.back(word, u)
-        if high > low:
-            found = self.memo.get(word)
-            if found is None:
-                if len(self.memo) >= self.memo_limit:
-                    self.memo.clear()
-                self.memo[word] = ([low], [high], [path])
-            elif len(found[0]) < 32:
-                k = bisect_right(found[0], low)
-                if not k or found[0][k - 1] != low:
-                    for kept, value in zip(found, (low, high, path)):
-                        kept.insert(k, value)
-        return path
-
-    def units(self, text: str) -> list[str]:
-        """Cuts a text, led by a space as the model's own encoder does, wherever no piece can cross."""
-        text = " " + text
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        narrow = codes < WIDE
-        small = np.where(narrow, codes, 0)
-        cut = ~self.inner[small[:-1], small[1:]]
-        for k in np.flatnonzero(~(narrow[:-1] & narrow[1:])).tolist():
-            cut[k] = (codes[k], codes[k + 1]) not in self.far
-        ends = (np.flatnonzero(cut) + 1).tolist()
-        return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
+                reach *= 2
+            part = codes[at:end]
+            if len(part) > CHUNK:  # one unit, or the rest after it
+                begins = self.cuts(part)
+                inside = np.flatnonzero(begins[1:])
+                end = at + (int(inside[0]) + 1 if len(inside) else len(part))
+                sampled = self.sample_long(codes[at:end], key, at)
+            else:
+                sampled = self.sample(part, np.zeros(1, np.int64), np.array([key]), at, self.cuts(part))
+            yield self.spelled(sampled)[0]
+            at = end
 
     def encode(self, text: str, key: int, seed: int) -> list[int]:
-        """The ids of one sampled segmentation.
-
-        Known intervals of a word are looked up; near their ends the draw is
-        worked out again, so that what is in the memo never shows.
-        """
-        if not text:
-            return []
-        units = self.units(text)
-        out: list[int] = []
-        look = self.memo.get
-        for word, u in zip(units, uniforms(key, seed, len(units)).tolist()):
-            found = look(word)
-            if found is not None:
-                k = bisect_right(found[0], u) - 1
-                if k >= 0 and found[0][k] + EDGE < u < found[1][k] - EDGE:
-                    out += found[2][k]
-                    continue
-            out += self.miss(word, u)
-        return out
+        return self.encode_many([text], [key], seed)[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join([self.plain[i] for i in ids])
@@ -249,8 +336,10 @@ def encode(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text", t
 
     The row key is a hash of the id. Empty texts give no pieces; null texts
     null pieces with n_pieces 0; rows that repeat an id and a text are
-    segmented alike; other columns are ignored; an empty table gives no rows.
-    decode() gives back every text.
+    segmented alike, and different texts of one id share its draws; texts of any
+    length are worked on a chunk at a time, runs without a cut a stretch at a
+    time; other columns are ignored; an empty table gives no rows. decode()
+    gives back every text.
     """
     model = _model(docs, model_path)
     schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("pieces", ArrayType(IntegerType(), False)), StructField("n_pieces", LongType())])
@@ -259,15 +348,10 @@ def encode(docs: DataFrame, model_path: str, id_col="doc_id", text_col="text", t
         own = lattice(model.value, theta)
 
         def step(batch):
-            flat, offsets, counts, valid = [], [0], [], []
-            keys = batch.column(1).to_pylist()
-            for key, text in zip(keys, batch.column(2).to_pylist()):
-                ids = own.encode(text, key, seed) if text else []
-                flat.append(np.array(ids, dtype=np.int32))
-                offsets.append(offsets[-1] + len(ids))
-                counts.append(len(ids))
-                valid.append(text is None)
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+            texts = batch.column(2).to_pylist()
+            flat, counts = own.encode_many([t or "" for t in texts], batch.column(1).to_pylist(), seed)
+            values, offsets = pa.array(flat), np.concatenate(([0], np.cumsum(counts)))
+            valid = [t is None for t in texts]
             pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(valid))
             return [batch.column(0), pieces.cast(pa.list_(pa.field("element", pa.int32(), nullable=False))), counts]
 
