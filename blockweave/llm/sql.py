@@ -37,17 +37,19 @@ comp AS (SELECT alias_of, coalesce(bool_or(act = 'block'), false) blocked FROM n
 SELECT page_id, host, path, rule, coalesce(best.act, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, nodes.alias_of
 FROM best LEFT JOIN nodes ON regexp_replace(url, '#.*$', '') = node LEFT JOIN comp ON comp.alias_of = nodes.alias_of"""
 
-_BUCKET = "({0} >> greatest(length(bin({0})) - 4, 0)) << greatest(length(bin({0})) - 4, 0)"
+_BUCKET = "({0} >> greatest(length(bin({0})) - 7, 0)) << greatest(length(bin({0})) - 7, 0)"
 
 
 def _bounds(table: str, groups: str) -> str:
-    q = "min(b) FILTER (m = {} AND upto * 100 >= total * {})"
+    middle, spread = "min(b) FILTER (m = {0} AND upto * 100 >= total * 50)", "(min(b) FILTER (m = {0} AND upto * 100 >= total * 50) - min(b) FILTER (m = {0} AND upto * 100 >= total * 25))"
+    high, low = f"{middle} + 8 * {spread}", f"greatest({middle} - 8 * {spread}, 0)"
     over = f"PARTITION BY {groups}{', ' if groups else ''}m"
-    return f"""SELECT {groups}{', ' if groups else ''}max(total) total, greatest({q.format(1, 90)} * 8, 100) hi1, least({q.format(2, 5)} // 2, 2500) lo2, greatest({q.format(2, 95)} * 2, 12000) hi2,
-greatest({q.format(3, 90)} * 4, 300) hi3, greatest({q.format(4, 90)} * 4, 300) hi4
+    return f"""SELECT {groups}{', ' if groups else ''}max(total) total, {high.format(1)} hi1, {low.format(2)} lo2, {high.format(2)} hi2, {high.format(3)} hi3, {high.format(4)} hi4
 FROM (SELECT *, sum(n) OVER ({over} ORDER BY b) upto, sum(n) OVER ({over}) total FROM {table}) {'GROUP BY ' + groups if groups else ''}"""
 
 
+_ABOVE = "{0} * 1000::DOUBLE <= {1} * {2}::DOUBLE + 4 * sqrt({3}000::DOUBLE * {1} * {2}::DOUBLE) + {3}000::DOUBLE * 16"
+_BELOW = "{0} * 1000::DOUBLE >= {1} * {2}::DOUBLE - 4 * sqrt(1000::DOUBLE * {1} * {2}::DOUBLE)"
 QUALITY = f"""
 WITH d AS (SELECT doc_id, coalesce(lang, chr(1)) lang, coalesce(source, chr(1)) source, coalesce(text, '') t, {_WORDS.format("coalesce(text, '')")} ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls FROM documents),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) k FROM (SELECT doc_id, unnest(range(1, len(ws) - 1)) i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] s FROM d WHERE len(ws) > 2)),
@@ -59,8 +61,9 @@ sk AS (SELECT lang, source, m, b, count(*) n FROM u GROUP BY ALL),
 al AS (SELECT m, b, sum(n) n FROM sk GROUP BY ALL),
 own AS ({_bounds('sk', 'lang, source')}),
 every AS ({_bounds('al', '')}),
-th AS (SELECT lang, source, CASE WHEN own.total < 50 THEN every.hi1 ELSE own.hi1 END hi1, CASE WHEN own.total < 50 THEN every.lo2 ELSE own.lo2 END lo2, CASE WHEN own.total < 50 THEN every.hi2 ELSE own.hi2 END hi2, CASE WHEN own.total < 50 THEN every.hi3 ELSE own.hi3 END hi3, CASE WHEN own.total < 50 THEN every.hi4 ELSE own.hi4 END hi4 FROM own, every)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(m1 <= hi1 AND m2 <= hi2 AND m2 >= lo2 AND m3 <= hi3 AND m4 <= hi4, true) AS kept FROM v LEFT JOIN th USING (lang, source)"""
+th AS (SELECT lang, source, {', '.join(f'((own.total * own.{x} + 50 * every.{x}) // (own.total + 50))::BIGINT {x}' for x in ('hi1', 'lo2', 'hi2', 'hi3', 'hi4'))} FROM own, every)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({_ABOVE.format('n_symbols', 'hi1', 'word_chars', 1)} AND {_ABOVE.format('word_chars', 'hi2', 'n_words', 1)} AND {_BELOW.format('word_chars', 'lo2', 'n_words')}
+AND {_ABOVE.format('n_dup_lines', 'hi3', 'nl', 1)} AND {_ABOVE.format('n_repeat_words', 'hi4', 'n_words', 6)}, true) AS kept FROM v LEFT JOIN th USING (lang, source)"""
 
 _TEST_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 DECONTAMINATION = f"""

@@ -123,6 +123,29 @@ def test_quality_adapts(spark):
     assert quality.keep_good(df).count() == 120
 
 
+def test_groups_have_their_own_thresholds(spark):
+    """Two sources of unlike text: what is usual in one is too much in the other; a third of junk moves nothing."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(9)
+    words = lambda n, size: ["".join(r.choices("abcdefghij", k=r.randrange(size - 1, size + 2))) for _ in range(n)]
+    prose = [" ".join(words(200, 4)) for _ in range(300)]
+    code = [" ".join(w + r.choice(["#", "", "$", "%"]) for w in words(200, 9)) for _ in range(300)]
+    junk = [" ".join(w + "#$%" for w in words(200, 4)) for _ in range(150)]
+    rows = [(i, t, "en", s) for i, (t, s) in enumerate([*[(t, "a") for t in prose + junk], *[(t, "b") for t in code], (code[0], "a"), (prose[0], "b")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {x.doc_id: x.kept for x in quality.quality(df).collect()}
+    assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 450))
+    assert sum(kept[i] for i in range(450, 750)) >= 297 and not kept[750] and not kept[751]
+    judged = quality.with_verdict(quality.base_counts(df, keep=("lang", "source")))
+    own = {x.source: x.asDict() for x in quality.bounds_of(judged, ["lang", "source"]).collect()}
+    assert own["a"]["hi_word_len_pm"] < own["b"]["lo_word_len_pm"] and own["a"]["hi_symbol_pm"] < own["b"]["hi_symbol_pm"]
+    shuffled = {x.doc_id: x.kept for x in quality.quality(df.repartition(7), limit=0).collect()}
+    assert shuffled == kept
+
+
 TEST_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
