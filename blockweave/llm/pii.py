@@ -4,15 +4,21 @@ Validated numbers and dates are permuted among all values of their own format,
 so a pseudonym is again a valid value of the format and equal values stay
 linked across documents without any table: card numbers keep their length and
 a right check digit, phone numbers and addresses their separators, dates stay
-real dates in the same notation. Mail addresses get a permuted number for
-their local part, of the form user<12 digits>, under the domain they had.
+real dates in the same notation. Mail addresses keep their domain, and letters
+stay letters and digits digits in their local part. Different values of a
+format never share a pseudonym. Values that are equal in another notation stay
+linked: phone numbers whatever their separators, mail addresses whatever their
+case, dates with the year first and with dots. Dates with slashes may be meant
+in two ways, so their notation is permuted on its own.
 """
 
 from __future__ import annotations
 
+import bisect
+import calendar
 import datetime
 import functools
-import hmac
+import math
 import re
 from hashlib import blake2b
 
@@ -44,16 +50,14 @@ class Feistel:
         self.key, self.rounds = key, rounds
 
     def _round(self, r: int, label: bytes, value: int, size: int) -> int:
-        digest = blake2b(b"%d|%s|%d" % (r, label, value), key=self.key, digest_size=16).digest()
+        digest = blake2b(b"%d|%s|%d" % (r, label, value), key=self.key, digest_size=64).digest()
         return int.from_bytes(digest, "big") % size
 
     def permute(self, x: int, n: int, label: str) -> int:
         """x's image among n values; each label has its own permutation."""
         if n <= 1:
             return x
-        a = 1
-        while a * a < n:
-            a += 1 if a < 1024 else a // 512
+        a = math.isqrt(n - 1) + 1
         b = -(-n // a)
         name = f"{label}|{n}".encode()
         while True:
@@ -72,8 +76,39 @@ def luhn(digits: str) -> int:
 
 
 FIRST, LAST = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
-#: Notations of dates: how they begin to differ, and their order.
-NOTATIONS = (("-", "%Y-%m-%d"), ("/", "%m/%d/%Y"), ("/", "%d/%m/%Y"), (".", "%d.%m.%Y"))
+#: Notations of dates that name one day each.
+NOTATIONS = (("-", "%Y-%m-%d"), (".", "%d.%m.%Y"))
+#: The calling codes of one and of two digits; all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+@functools.lru_cache(maxsize=2)
+def slashed(leap: bool) -> tuple[tuple[int, int], ...]:
+    """The pairs a/b of a year that are a day in one of the two orders, sorted."""
+    days = [(datetime.date(2000 if leap else 2001, 1, 1) + datetime.timedelta(k)) for k in range(365 + leap)]
+    return tuple(sorted({(d.month, d.day) for d in days} | {(d.day, d.month) for d in days}))
+
+
+def slash_rank(first: int, second: int, year: int) -> tuple[int | None, int]:
+    """The place of first/second/year among all such strings of the years, None if it is none, and how many there are."""
+    place = total = None
+    total = 0
+    for y in range(FIRST.year, LAST.year + 1):
+        pairs = slashed(calendar.isleap(y))
+        if y == year:
+            k = bisect.bisect_left(pairs, (first, second))
+            place = total + k if k < len(pairs) and pairs[k] == (first, second) else None
+        total += len(pairs)
+    return place, total
+
+
+def slash_at(place: int) -> str:
+    for y in range(FIRST.year, LAST.year + 1):
+        pairs = slashed(calendar.isleap(y))
+        if place < len(pairs):
+            return f"{pairs[place][0]:02d}/{pairs[place][1]:02d}/{y}"
+        place -= len(pairs)
+    raise ValueError(place)
 
 
 def fill(template: str, digits: str) -> str:
@@ -95,11 +130,26 @@ class Pseudonyms:
         return getattr(self, f"_{kind}")(text)
 
     def _mail(self, text: str) -> str:
-        local, _, domain = text.rpartition("@")
-        value = int.from_bytes(hmac.digest(self.key, text.lower().encode(), "sha256")[:5], "big") % 10**12
-        return f"user{self.feistel.permute(value, 10**12, 'mail'):012d}@{domain}"
+        """Letters among letters and digits among digits, for each domain and form; case is folded."""
+        local, _, domain = text.lower().rpartition("@")
+        value, n = 0, 1
+        for c in local:
+            if c.isalnum():
+                size, first = (10, "0") if c.isdigit() else (26, "a")
+                value, n = value * size + ord(c) - ord(first), n * size
+        form = re.sub("[0-9]", "9", re.sub("[a-z]", "a", local))
+        value, out = self.feistel.permute(value, n, f"mail|{domain}|{form}"), []
+        for c in reversed(form):
+            if c in "a9":
+                value, k = divmod(value, 26 if c == "a" else 10)
+                c = chr(ord("a" if c == "a" else "0") + k)
+            out.append(c)
+        return f"{''.join(reversed(out))}@{domain}"
 
     def _date(self, text: str) -> str | None:
+        if "/" in text:
+            place, n = slash_rank(*map(int, text.split("/")))
+            return None if place is None else slash_at(self.feistel.permute(place, n, "date/"))
         for mark, notation in NOTATIONS:
             if mark in text:
                 try:
@@ -119,13 +169,15 @@ class Pseudonyms:
         return ".".join(map(str, self.feistel.permute(x, 1 << 32, "ip").to_bytes(4, "big")))
 
     def _phone(self, text: str) -> str | None:
+        """The calling code stays, and all digits after it are permuted. Without one, the notation is that of country 1."""
         digits = re.sub(r"\D", "", text)
         if not 7 <= len(digits) <= 15:
             return None
-        # the country code stays, so that the number is still one of its country
-        keep = len(re.match(r"\+?(\d*)", text)[1]) if text[0] == "+" and not text[1:].isdigit() else 1 if text[0] == "+" else 0
-        keep = min(keep, len(digits) - 6)
-        return fill(text, digits[:keep] + self.number(digits[keep:], f"phone{digits[:keep]}"))
+        code = next((digits[:k] for k in (1, 2) if digits[:k] in SHORT_CODES), digits[:3]) if text[0] == "+" else ""
+        # a trunk zero in brackets is no part of the number
+        trunk = "0" if code and re.match(rf"\+{code}[ .-]?\(0\)", text) else ""
+        rest = digits[len(code + trunk) :]
+        return fill(text, code + trunk + self.number(rest, f"phone{code or 1}"))
 
     def _ssn(self, text: str) -> str | None:
         area, group, serial = map(int, text.split("-"))

@@ -44,27 +44,58 @@ def plain_paths(text):
     return {p: w / total for p, w in paths}
 
 
-@pytest.mark.parametrize("one_draw", [24, 0])
-def test_sampling_follows_the_lattice(one_draw):
-    own = pieces.Lattice(open(PATH, "rb").read(), 2.0, one_draw=one_draw)
+@pytest.mark.parametrize("widest", [64, 2])
+def test_sampling_follows_the_lattice(widest):
+    """Side by side, and alone as long units are."""
+    own = pieces.Lattice(open(PATH, "rb").read(), 2.0, widest)
     LATTICE.weight, kept = own.weight, LATTICE.weight
     try:
         want = plain_paths("the cat")
     finally:
         LATTICE.weight = kept
     n = 20000
-    seen = Counter(tuple(own.encode("the cat", key, 0)) for key in range(n))
+    ids, counts = own.encode_many(["the cat"] * n, range(n), 0)
+    seen = Counter(map(tuple, pieces.np.split(ids, counts.cumsum()[:-1])))
     assert set(seen) <= set(want)
     for path, p in want.items():
         assert abs(seen[path] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
 
 
-def test_memo_never_shows():
-    text = "thinghation ereble wherer " * 20
-    first = [LATTICE.encode(text, k, 0) for k in range(30)]
-    fresh = pieces.Lattice(open(PATH, "rb").read(), 6.0, memo_limit=3)
-    assert [fresh.encode(text, k, 0) for k in reversed(range(30))] == first[::-1]
-    assert first[0] != first[1] and LATTICE.encode(text, 0, 1) != first[0]
+def test_ways_to_work_agree(monkeypatch):
+    """Alone or among others, in chunks of any size, and with every unit worked on alone."""
+    texts = ["thinghation ereble wherer " * 20, "", "a", "日本語 é ▁ x\n" * 9, "x" * 300, *[t for t in hard_texts() if t]]
+    keys = list(range(len(texts)))
+    ids, counts = LATTICE.encode_many(texts, keys, 0)
+    first = [x.tolist() for x in pieces.np.split(ids, counts.cumsum()[:-1])]
+    assert [LATTICE.encode(t, k, 0) for t, k in zip(texts, keys)] == first
+    assert LATTICE.encode(texts[0], 1, 0) != first[0] != LATTICE.encode(texts[0], 0, 1)
+    own = pieces.Lattice(open(PATH, "rb").read(), 6.0, 1)
+    assert [own.encode(t, k, 0) for t, k in zip(texts, keys)] == first
+    monkeypatch.setattr(pieces, "TABLE", 50)
+    monkeypatch.setattr(pieces, "STRETCH", 7)
+    monkeypatch.setattr(pieces, "CHUNK", 40)
+    assert [own.encode(t, k, 0) for t, k in zip(texts, keys)] == first
+    assert [LATTICE.encode(t, k, 0) for t, k in zip(texts, keys)] == first
+
+
+def test_hashes_that_collide_do_no_harm(monkeypatch):
+    text = "some words that are not alike, and some that are"
+    first = LATTICE.encode(text, 3, 0)
+    monkeypatch.setattr(pieces, "span_hashes", lambda codes, starts, ends: (starts % 3).astype(pieces.np.uint64))
+    assert LATTICE.encode(text, 3, 0) == first
+
+
+def test_long_runs_take_linear_time():
+    import random
+    import time
+
+    r = random.Random(2)
+    long = "".join(r.choice("etaoinshrdlu") for _ in range(1_200_000))
+    began = time.process_time()
+    assert LATTICE.decode(LATTICE.encode(long, 1, 0)) == long
+    assert time.process_time() - began < 90
+    mixed = long[:300_000] + " " + " ".join(["word"] * 120_000) + long[:100]
+    assert LATTICE.decode(LATTICE.encode(mixed, 1, 0)) == mixed
 
 
 def test_pieces_query(spark, sf):
@@ -169,3 +200,54 @@ def test_neighbours_hide_nothing(kind, value, around):
 def test_lists_of_numbers_stay():
     for text in ("1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23", "12 34 56 78 90 12 34 56 79 11 22 33 44 55"):
         assert OWN.replace(text)[0] == text or not pii.luhn(re.sub(r"\D", "", pii.EACH[-1][1].match(text)[0])) % 10
+
+
+def test_slash_dates_are_a_bijection():
+    """Every string that is a day in one of the two orders has a pseudonym of its own, which is one too."""
+    import calendar
+
+    every = {f"{a:02d}/{b:02d}/{y}" for y in range(1900, 2100) for m in range(1, 13) for d in range(1, calendar.monthrange(y, m)[1] + 1) for a, b in ((m, d), (d, m))}
+    own = pii.Pseudonyms(b"key", memo_limit=1)
+    assert {own._date(x) for x in every} == every
+    assert own._date("13/13/2000") is own._date("30/02/2000") is own._date("02/29/1900") is own._date("01/01/2100") is None
+
+
+def test_equal_values_stay_linked():
+    one = lambda text: OWN.replace(text)[0]
+    digits = lambda text: re.sub(r"\D", "", one(text))
+    assert digits("+49 30 1234567") == digits("+49301234567") == digits("+49-30-1234567") and digits("+49 30 1234567")[:2] == "49"
+    assert digits("+49 (0)30 1234567").replace("490", "49", 1) == digits("+49 30 1234567")
+    assert digits("+1 826 555 4081")[1:] == digits("(826) 555-4081") == digits("826-555-4081")
+    assert one("Jo.Do12@Example.ORG") == one("jo.do12@example.org") and re.fullmatch(r"[a-z]{2}\.[a-z]{2}\d{2}@example\.org", one("jo.do12@example.org"))
+    assert len({one(f"{a}{b}{c}@x.org") for a in "abcdefghijklmnopqrstuvwxyz" for b in "xyz" for c in range(10)}) == 780
+    day = one("2024-02-29").split("-")
+    assert one("29.02.2024") == ".".join(reversed(day))
+
+
+#: Values as another program may look for them, and what of them must not change.
+PLAIN = {
+    "card": (r"(?<![\d -])\d{16}(?![\d -])", lambda x: sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(x))) % 10 == 0),
+    "day": (r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])", lambda x: "1900" <= x[:4] <= "2099" and re.fullmatch(r"\d{4}-(0[1-9]|1[0-2])-(0[1-9]|1\d|2[0-8])", x)),
+    "ssn": (r"(?<![\d-])[1-5]\d{2}-(?:0[1-9]|[1-9]\d)-\d{3}[1-9](?![\d-])", lambda x: True),
+    "mail": (r"(?<![\w.%+-])[a-z0-9]+(?:\.[a-z0-9]+)?@[a-z0-9]+\.[a-z]+(?![\w.])", lambda x: True),
+}
+
+
+def test_pseudonyms_against_plain_search(spark, sf):
+    """Found with other patterns, values of the given tables have gone, equal ones alike and others apart; the rest of the text stays."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    new = {r.doc_id: r.text for r in QUERIES["op9_pseudonyms"](spark, sf).collect()}
+    seen, changed = {k: {} for k in PLAIN}, 0
+    for i, old in texts.items():
+        before, after = old.split(), new[i].split()
+        assert len(before) == len(after)
+        for a, b in zip(before, after):
+            changed += a != b
+            for kind, (pattern, valid) in PLAIN.items():
+                x, y = re.search(pattern, a), re.search(pattern, b)
+                if x and valid(x[0]):
+                    assert y and valid(y[0]) and re.sub("[0-9]", "9", re.sub("[a-z]", "a", x[0].split("@")[0])) == re.sub("[0-9]", "9", re.sub("[a-z]", "a", y[0].split("@")[0]))
+                    assert seen[kind].setdefault(x[0], y[0]) == y[0]
+            if not re.search(r"\d|@", a):
+                assert a == b
+    assert changed and all(len(set(m.values())) == len(m) for m in seen.values()) and any(seen.values())
