@@ -1,13 +1,16 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned in small groups: the trees are matched by simple
-tree matching into a wrapper. A wrapper node whose own text is the same on all
-pages of a group is template; one whose text varies is a content slot. The
-content root is the page's article landmark or, without one, the smallest
-subtree that holds most of the text in varying slots. Blocks inside a landmark
-that are the same on all pages of a group with several articles are left out. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts and comments are left out by their
-elements and by the names in their class, id or role.
+Pages of one host are aligned in small groups. The wrapper begins as the first
+page's tree; each further page is matched to it by simple tree matching and adds
+the nodes that it has besides. A wrapper node whose own text is the same on all
+pages of a group is template; one whose text varies is a content slot.
+
+The content root is the smallest subtree that holds most of the text in varying
+slots. An article landmark takes its place if it holds most of that text, or
+where nothing varies because a page stands alone. Inside, blocks that are the same on
+all pages of a group with several articles are left out, and so are menus,
+headers, footers, sidebars, notices, adverts, forms, scripts and comments, by
+their elements and by the names in their class, id or role.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .common import materialize, small, stage_dir
 from .urls import host_of
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
@@ -33,35 +37,58 @@ SKIP = frozenset("head nav footer aside form script style noscript template ifra
 CLOSES_P = BLOCK - {"body", "html"}
 #: Words of class, id and role names that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner sidebar menu navbar nav navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice alert comment comments discussion disqus reply replies share sharing social newsletter subscribe subscription signup login search popup modal related recommended footer masthead copyright pager pagination toolbar widget skip contentinfo complementary".split())
-DEPTH = 150
 #: So many different articles in a group show that a block on all its pages belongs to none of them.
 ARTICLES = 4
 
 
 class Node:
-    __slots__ = ("tag", "labels", "kids", "shape", "slot", "texts", "pages")
+    """An element of a page. slot is the wrapper's node that it is matched with."""
 
-    def __init__(self, tag: str, labels: frozenset = frozenset()):
-        self.tag, self.labels = tag, labels
+    __slots__ = ("tag", "labels", "kids", "up", "shape", "size", "slot", "mass")
+
+    def __init__(self, tag: str, labels: frozenset = frozenset(), up: Node | None = None):
+        self.tag, self.labels, self.up = tag, labels, up
         self.kids: list = []
         self.shape = self.slot = None
-        self.texts: set | None = None
-        self.pages: set | None = None
+        self.size = self.mass = 0
 
     def elements(self) -> list[Node]:
         return [k for k in self.kids if k.__class__ is Node]
 
 
+class Slot:
+    """A node of the wrapper: its children in order, the texts it had, and the pages (by name) that it stands on."""
+
+    __slots__ = ("tag", "kids", "texts", "pages", "shape", "size")
+
+    def __init__(self, tag: str):
+        self.tag = tag
+        self.kids: list[Slot] = []
+        self.texts: set = set()
+        self.pages: set = set()
+        self.shape, self.size = None, 0
+
+    def elements(self) -> list[Slot]:
+        return self.kids
+
+
 def words_in(attributes: str) -> frozenset:
     found = LABELS.findall(attributes) if attributes and not attributes.isspace() else ()
     return frozenset(w for a, b, c in found for w in re.split(r"[^a-z]+", (a or b or c).lower()) if w)
 
 
-def parse(page: str) -> Node:
-    """A tree of the page. Missing end tags are implied; nesting beyond DEPTH stays on one level."""
+def parse(page: str) -> list[Node]:
+    """The nodes of the page's tree in page order, the root first. Missing end tags are implied; nesting may be of any depth."""
     root = Node("#root")
-    stack, at = [root], 0
+    nodes, stack, at = [root], [root], 0
+    open_: dict[str, int] = {}
     lower = None
+
+    def shut(i: int) -> None:
+        for n in stack[i:]:
+            open_[n.tag] -= 1
+        del stack[i:]
+
     while True:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -74,9 +101,10 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
+            # an end tag of nothing that is open needs no search of the stack
+            for i in range(len(stack) - 1, 0, -1) if open_.get(tag) else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    shut(i)
                     break
                 if stack[i].tag in ("article", "body", "html") and tag not in BLOCK:
                     break
@@ -85,89 +113,160 @@ def parse(page: str) -> Node:
             closes = {"p"} | ({"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {"tr", "td", "th"} if tag == "tr" else set())
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in closes:
-                    del stack[i:]
+                    shut(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
         attributes = m[3] or m[6] or ""
-        node = Node(tag, words_in(attributes))
+        node = Node(tag, words_in(attributes), stack[-1])
         stack[-1].kids.append(node)
+        nodes.append(node)
         if tag in RAW:
             lower = lower or page.lower()
             end = lower.find(f"</{tag}", at) if len(lower) == len(page) else page.find(f"</{tag}", at)
             at = len(page) if end < 0 else end
-        elif tag not in VOID and not attributes.endswith("/") and len(stack) < DEPTH:
+        elif tag not in VOID and not attributes.endswith("/"):
             stack.append(node)
-    return root
+            open_[tag] = open_.get(tag, 0) + 1
+    return nodes
+
+
+def shapes(nodes: list) -> None:
+    """Gives each node a hash of the element names of its subtree, and its size. Parents stand before children."""
+    for n in reversed(nodes):
+        kids = n.elements()
+        n.shape, n.size = hash((n.tag, *[k.shape for k in kids])), 1 + sum(k.size for k in kids)
 
 
-def shape(node: Node) -> int:
-    """A hash of the element names of the subtree."""
-    node.shape = hash((node.tag, *[shape(k) for k in node.elements()]))
-    return node.shape
+def in_order(root: Slot) -> list[Slot]:
+    out, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        out.append(n)
+        stack += reversed(n.kids)
+    return out
 
 
 def own_text(node: Node) -> str:
     return " ".join(" ".join(k for k in node.kids if k.__class__ is str).split())
 
 
-def align(a: Node, b: Node, pairs: list) -> int:
-    """Simple tree matching: the most node pairs that keep order and ancestry; appends them to pairs.
+class Matcher:
+    """Simple tree matching: the most node pairs that keep order and ancestry.
 
-    Subtrees of one shape at both ends of the child lists are paired directly,
-    which is optimal; the usual table over what remains between does the rest.
+    What two subtrees have in common depends on their shapes alone, so each
+    pair of shapes is worked out once, children first, without recursion.
     """
-    pairs.append((a, b))
-    score, xs, ys = 1, a.elements(), b.elements()
-    low, top = 0, min(len(xs), len(ys))
-    while low < top and xs[low].shape == ys[low].shape:
-        score += align(xs[low], ys[low], pairs)
-        low += 1
-    tail = 0
-    while tail < top - low and xs[-1 - tail].shape == ys[-1 - tail].shape:
-        score += align(xs[-1 - tail], ys[-1 - tail], pairs)
-        tail += 1
-    xs, ys = xs[low : len(xs) - tail], ys[low : len(ys) - tail]
-    if not xs or not ys:
-        return score
-    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    seen: dict[tuple[int, int], int] = {}
-    for i, x in enumerate(xs):
-        for j, y in enumerate(ys):
-            here = 0
-            if x.tag == y.tag:
-                key = (x.shape, y.shape)
-                if key not in seen:
-                    seen[key] = align(x, y, [])
-                here = seen[key]
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + here if here else 0)
-    i, j = len(xs), len(ys)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            align(xs[i], ys[j], pairs)
-    return score + best[-1][-1]
-
-
-def induce(trees: list[Node], names: list[int]) -> None:
-    """Aligns all trees with the largest one; its nodes collect their texts and the pages (by name) they stand on."""
-    for t in trees:
-        shape(t)
-    wrapper = max(trees, key=lambda t: len(t.kids[-1].kids) if t.kids and t.kids[-1].__class__ is Node else 0)
-    for tree, name in zip(trees, names):
-        pairs: list = []
-        align(wrapper, tree, pairs)
-        for slot, node in pairs:
-            if slot.texts is None:
-                slot.texts, slot.pages = set(), set()
+
+    def __init__(self):
+        #: (shape, shape) -> (score, matched child numbers)
+        self.known: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+
+    def _table(self, a, b) -> list | None:
+        """Works out a pair, or gives the pairs of children that must come first."""
+        xs, ys = a.elements(), b.elements()
+        if a.shape == b.shape:
+            self.known[a.shape, b.shape] = a.size, [(i, i) for i in range(len(xs))]
+            return None
+        # children of one shape at both ends are paired directly, which is optimal
+        low, top = 0, min(len(xs), len(ys))
+        while low < top and xs[low].shape == ys[low].shape:
+            low += 1
+        tail = 0
+        while tail < top - low and xs[-1 - tail].shape == ys[-1 - tail].shape:
+            tail += 1
+        inner, outer = xs[low : len(xs) - tail], ys[low : len(ys) - tail]
+        by_tag: dict[str, list[int]] = {}
+        for j, y in enumerate(outer):
+            by_tag.setdefault(y.tag, []).append(j)
+        missing = {(x.shape, outer[j].shape): (x, outer[j]) for x in inner for j in by_tag.get(x.tag, ()) if (x.shape, outer[j].shape) not in self.known}
+        if missing:
+            return list(missing.values())
+        best = [[0] * (len(outer) + 1)]
+        for x in inner:
+            last, row = best[-1], [0]
+            scores = {j: self.known[x.shape, outer[j].shape][0] for j in by_tag.get(x.tag, ())}
+            for j in range(len(outer)):
+                row.append(max(last[j + 1], row[j], last[j] + scores.get(j, 0)))
+            best.append(row)
+        middle, i, j = [], len(inner), len(outer)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                middle.append((low + i, low + j))
+        score = 1 + best[-1][-1] + sum(x.size for x in xs[:low]) + sum(x.size for x in xs[len(xs) - tail :])
+        ends = [(len(xs) - k, len(ys) - k) for k in range(tail, 0, -1)]
+        self.known[a.shape, b.shape] = score, [(k, k) for k in range(low)] + middle[::-1] + ends
+        return None
+
+    def children(self, a, b) -> list[tuple[int, int]]:
+        """The matched children of two nodes, by number."""
+        return self._of(a, b)[1]
+
+    def score(self, a, b) -> int:
+        return self._of(a, b)[0]
+
+    def _of(self, a, b) -> tuple[int, list[tuple[int, int]]]:
+        stack = [(a, b)]
+        while stack:
+            x, y = stack[-1]
+            if (x.shape, y.shape) in self.known:
+                stack.pop()
+                continue
+            first = self._table(x, y)
+            if first is None:
+                stack.pop()
+            else:
+                stack += first
+        return self.known[a.shape, b.shape]
+
+
+def added(node: Node, name: int) -> Slot:
+    """A new part of the wrapper for a subtree that it lacks."""
+    root = Slot(node.tag)
+    stack = [(node, root)]
+    while stack:
+        n, slot = stack.pop()
+        n.slot = slot
+        slot.texts.add(own_text(n))
+        slot.pages.add(name)
+        for k in n.elements():
+            own = Slot(k.tag)
+            slot.kids.append(own)
+            stack.append((k, own))
+    return root
+
+
+def induce(trees: list[list[Node]], names: list[int]) -> None:
+    """Merges the trees, as lists of nodes, into one wrapper; all nodes get their slots."""
+    for nodes in trees:
+        shapes(nodes)
+    wrapper = added(trees[0][0], names[0])
+    for nodes, name in zip(trees[1:], names[1:]):
+        shapes(in_order(wrapper))
+        matcher, stack = Matcher(), [(wrapper, nodes[0])]
+        while stack:
+            slot, node = stack.pop()
+            node.slot = slot
             slot.texts.add(own_text(node))
             slot.pages.add(name)
-            node.slot = slot
+            kids, pairs = node.elements(), matcher.children(slot, node)
+            stack += [(slot.kids[i], kids[j]) for i, j in pairs]
+            # what the page has besides goes behind the slot of its neighbour
+            partner = {j: i for i, j in pairs}
+            new: dict[int, list[Slot]] = {}
+            after = -1
+            for j, kid in enumerate(kids):
+                if j in partner:
+                    after = partner[j]
+                else:
+                    new.setdefault(after, []).append(added(kid, name))
+            if new:
+                slot.kids = [x for i in range(-1, len(slot.kids)) for x in (*slot.kids[max(i, 0) : i + 1], *new.get(i, ()))]
 
 
 def boilerplate(node: Node, inside: bool) -> bool:
@@ -179,129 +278,141 @@ def template(node: Node, pages: int) -> bool:
     return pages > 1 and node.slot is not None and len(node.slot.texts) == 1 and len(node.slot.pages) == pages
 
 
-def mass(node: Node, pages: int, cache: dict) -> int:
-    """Length of the text in content slots below a node."""
-    if boilerplate(node, False):
-        n = 0
-    else:
-        n = 0 if template(node, pages) else len(own_text(node))
-        n += sum(mass(k, pages, cache) for k in node.elements())
-    cache[id(node)] = n
-    return n
-
-
-def landmarks(node: Node, names: tuple[str, ...]) -> list[Node]:
-    out = []
-    for k in node.elements():
-        if (k.tag in names or (names[0] == "main" and "main" in k.labels)) and not boilerplate(k, False):
-            out.append(k)
-        elif not boilerplate(k, False):
-            out += landmarks(k, names)
+def weigh(nodes: list[Node], pages: int) -> None:
+    """Gives each node the length of the text in content slots below it."""
+    for n in reversed(nodes):
+        if boilerplate(n, False):
+            n.mass = 0
+        else:
+            n.mass = (0 if template(n, pages) else len(own_text(n))) + sum(k.mass for k in n.elements())
+
+
+def landmarks(nodes: list[Node], names: tuple[str, ...]) -> list[Node]:
+    """The outermost landmarks of these names that do not stand in boilerplate."""
+    out, closed = [], set()
+    for n in nodes[1:]:
+        if id(n.up) in closed or boilerplate(n, False):
+            closed.add(id(n))
+        elif n.tag in names or (names[0] == "main" and "main" in n.labels):
+            out.append(n)
+            closed.add(id(n))
     return out
 
 
-def content_roots(tree: Node, pages: int) -> tuple[list[Node], bool]:
-    """The subtrees that hold the article, and whether a landmark named them."""
+def content_roots(nodes: list[Node], pages: int) -> tuple[list[Node], bool]:
+    """The subtrees that hold the article, and whether landmarks name them."""
+    weigh(nodes, pages)
+    at = nodes[0]
+    total = at.mass
     for names in (("article",), ("main",)):
-        found = landmarks(tree, names)
-        if found:
+        found = landmarks(nodes, names)
+        # varying text decides: a landmark without most of it is not where the article is
+        if found and 2 * sum(n.mass for n in found) >= total:
             return found, True
-    cache: dict = {}
-    total, at = mass(tree, pages, cache), tree
     while total:
-        best = max((k for k in at.elements()), key=lambda k: cache.get(id(k), 0), default=None)
-        if best is None or best.tag not in BLOCK or 5 * cache.get(id(best), 0) < 4 * total or best.tag in ("p", "li", "td"):
+        best = max(at.elements(), key=lambda k: k.mass, default=None)
+        if best is None or best.tag not in BLOCK or 5 * best.mass < 4 * total or best.tag in ("p", "li", "td"):
             break
         at = best
     return [at], False
 
 
-def constant(node: Node, pages: int) -> bool:
-    """Nothing in the subtree varies between the pages of the group."""
-    return template(node, pages) and all(constant(k, pages) for k in node.elements())
+def constants(nodes: list[Node], pages: int) -> set[int]:
+    """Nodes in whose subtrees nothing varies between the pages of the group."""
+    out: set[int] = set()
+    for n in reversed(nodes):
+        if template(n, pages) and all(id(k) in out for k in n.elements()):
+            out.add(id(n))
+    return out
 
 
-def blocks(node: Node, pages: int, marked: bool, out: list[list[str]], notices: bool = True) -> None:
-    """Collects the text of the blocks in page order; out[-1] is the open one. Without notices, constant blocks are left out."""
-    drop_own = not marked and template(node, pages)
-    for k in node.kids:
-        if k.__class__ is str:
-            if not drop_own:
-                out[-1].append(k)
+def blocks(root: Node, pages: int, marked: bool, out: list[list[str]], left_out: set[int]) -> None:
+    """Collects the text of the blocks in page order; out[-1] is the open one. Blocks in left_out are."""
+    stack: list = [root]
+    while stack:
+        k = stack.pop()
+        if k is None:
+            out.append([])
+        elif k.__class__ is str:
+            out[-1].append(k)
         elif k.tag == "br":
             out[-1].append(" ")
-        elif not boilerplate(k, marked) and (notices or k.tag not in BLOCK or not constant(k, pages)):
-            if k.tag in BLOCK:
-                out.append([])
-            blocks(k, pages, marked, out, notices)
-            if k.tag in BLOCK:
+        elif k is root or not boilerplate(k, marked) and (k.tag not in BLOCK or id(k) not in left_out):
+            drop_own = not marked and template(k, pages)
+            if k.tag in BLOCK and k is not root:
                 out.append([])
+                stack.append(None)
+            stack += [x for x in reversed(k.kids) if not (drop_own and x.__class__ is str)]
 
 
-def text_of(tree: Node, pages: int, notices: bool) -> str:
-    roots, marked = content_roots(tree, pages)
+def text_of(nodes: list[Node], pages: int, notices: bool) -> str:
+    roots, marked = content_roots(nodes, pages)
+    left_out = set() if notices or not marked else constants(nodes, pages)
     out: list[list[str]] = [[]]
     for root in roots:
         out.append([])
-        blocks(root, pages, marked, out, notices or not marked)
+        blocks(root, pages, marked, out, left_out)
     return "\n".join(t for t in (" ".join("".join(b).split()) for b in out) if t)
 
 
 def texts_of(group: list[str]) -> list[str]:
     """The main text of each page of one host."""
-    trees = [parse(p) for p in group]
-    first = {p: i for i, p in reversed(list(enumerate(group)))}
-    different = len(first)
-    if different > 1:
-        induce(trees, [first[p] for p in group])
-    without = [text_of(t, different, False) for t in trees]
+    distinct = list(dict.fromkeys(group))
+    trees = [parse(p) for p in distinct]
+    if len(distinct) > 1:
+        induce(trees, list(range(len(distinct))))
+    without = [text_of(t, len(distinct), False) for t in trees]
     # fewer articles than that may be copies of one another, whose equal blocks must stay
-    return without if len({t for t in without if t}) >= ARTICLES else [text_of(t, different, True) for t in trees]
+    if len({t for t in without if t}) < ARTICLES:
+        without = [text_of(t, len(distinct), True) for t in trees]
+    found = dict(zip(distinct, without))
+    return [found[p] for p in group]
 
 
 def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", group_size: int = 16) -> DataFrame:
     """id_col, url_col, text and n_chars for every row of pages.
 
-    Rows are dealt by ranges of (host, hash of url and id), so that a host with
-    very many pages is spread over tasks, and each task aligns neighbours of
-    one host in groups of group_size, the last two of a host made equal so that
-    no page is left over; memory is bounded by two groups. Every page takes part. A host with one page, or whose pages are all the same,
-    has no varying slots: there only the names of elements decide. Null and
-    empty html give an empty text; null urls form one host; repeated rows are
-    each extracted; other columns are ignored; an empty table gives no rows.
+    The pages of a host are dealt into as many groups as it has times
+    group_size pages, by a hash of url, id and page, and each group is aligned
+    in one task. So a host with very many pages is spread over tasks, and which
+    pages meet depends on neither partitions nor order. A group holds its
+    different pages at a time; the memory for a page is in proportion to it, and
+    its nesting may be of any depth. A host with one page, or whose pages are
+    all the same, has no varying slots: there only landmarks and names decide.
+    Null and empty html give an empty text; null urls form one host; repeated
+    rows are each extracted; other columns are ignored; an empty table gives no
+    rows.
     """
-    host = host_of(F.col(url_col).cast("string"))
+    spark, host = pages.sparkSession, host_of(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col), F.col(url_col).cast("string").alias(url_col), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("bw_html"), host.alias("bw_host"))
-    rows = rows.withColumn("bw_h", F.xxhash64(url_col, id_col))
+    hosts = pages.select(host.alias("h")).groupBy("h").agg(F.ceil(F.count(F.lit(1)) / F.lit(group_size)).alias("k"))
+    hosts = materialize(spark, hosts.where("k > 1"), stage_dir(spark), "hosts")
+    rows = rows.join(small(hosts, 200), F.col("bw_host").eqNullSafe(F.col("h")), "left")
+    rows = rows.withColumn("bw_h", F.xxhash64(url_col, id_col, "bw_html")).withColumn("bw_group", F.pmod("bw_h", F.coalesce("k", F.lit(1)))).drop("h", "k")
     schema = StructType([StructField(id_col, pages.schema[id_col].dataType), StructField(url_col, StringType()), StructField("text", StringType()), StructField("n_chars", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = to_arrow_schema(schema)
         ids, urls, group, last = [], [], [], None
+        seen: dict[str, str] = {}
 
-        def flush(n):
-            texts = texts_of(group[:n])
-            out = pa.RecordBatch.from_arrays([pa.concat_arrays(ids[:n]).cast(target[0].type), pa.array(urls[:n], pa.string()).cast(target[1].type), pa.array(texts, pa.string()).cast(target[2].type), pa.array([len(t) for t in texts], pa.int64())], schema=target)
-            del ids[:n], urls[:n], group[:n]
+        def flush():
+            texts = texts_of(group)
+            out = pa.RecordBatch.from_arrays([pa.concat_arrays(ids).cast(target[0].type), pa.array(urls, pa.string()).cast(target[1].type), pa.array(texts, pa.string()).cast(target[2].type), pa.array([len(t) for t in texts], pa.int64())], schema=target)
+            ids.clear(), urls.clear(), group.clear(), seen.clear()
             return out
 
-        def rest():
-            if len(group) > group_size:
-                yield flush((len(group) + 1) // 2)
-            if group:
-                yield flush(len(group))
-
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (1, 2, 3)]
-            for i, (url, page, host) in enumerate(zip(*columns)):
-                if host != last:
-                    yield from rest()
-                elif len(group) >= 2 * group_size:
-                    yield flush(group_size)
-                last = host
+            columns = [batch.column(i).to_pylist() for i in (1, 2, 3, 4)]
+            for i, (url, page, *own) in enumerate(zip(*columns)):
+                if own != last and group:
+                    yield flush()
+                last = own
                 ids.append(batch.column(0).slice(i, 1))
                 urls.append(url)
-                group.append(page)
-        yield from rest()
+                group.append(seen.setdefault(page, page))
+        if group:
+            yield flush()
 
-    return rows.repartitionByRange("bw_host", "bw_h").sortWithinPartitions("bw_host", "bw_h").mapInArrow(run, schema)
+    rows = rows.select(id_col, url_col, "bw_html", "bw_host", "bw_group", "bw_h")
+    return rows.repartition("bw_host", "bw_group").sortWithinPartitions("bw_host", "bw_group", "bw_h").mapInArrow(run, schema)

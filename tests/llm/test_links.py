@@ -213,9 +213,85 @@ def test_wrapper_without_landmarks():
 def test_tree_matching():
     a, b = html.parse("<div><p>1<p>2<b>x</b><ul><li>q</ul></div>"), html.parse("<div><h2>n</h2><p>1<ul><li>q<li>r</ul><p>z</div>")
     for t in (a, b):
-        html.shape(t)
-    pairs = []
-    assert html.align(a, b, pairs) == len(pairs) == 5  # root, div, p, ul, li
+        html.shapes(t)
+    matcher = html.Matcher()
+    assert matcher.score(a[0], b[0]) == 5  # root, div, p, ul, li
+
+
+def plain_match(a, b):
+    """Simple tree matching by its recurrence."""
+    if a.tag != b.tag:
+        return 0
+    xs, ys = a.elements(), b.elements()
+    best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, x in enumerate(xs):
+        for j, y in enumerate(ys):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_match(x, y))
+    return best[-1][-1] + 1
+
+
+def test_tree_matching_against_its_recurrence():
+    import random
+
+    r = random.Random(1)
+
+    def tree(depth):
+        tag = r.choice(["div", "b", "i"])
+        return f"<{tag}>{''.join(tree(depth - 1) for _ in range(r.randrange(4)) if depth)}</{tag}>"
+
+    for _ in range(60):
+        a, b = html.parse(f"<div>{tree(3)}{tree(2)}</div>"), html.parse(f"<div>{tree(2)}{tree(3)}</div>")
+        html.shapes(a), html.shapes(b)
+        assert html.Matcher().score(a[0], b[0]) == plain_match(a[0], b[0])
+
+
+def test_deep_pages():
+    """Nesting of any depth, different at the leaf, in no time; end tags close what they should."""
+    import time
+
+    page = lambda i, n: "<body><div class=x>" + "<div>" * n + f"<p>Text {i} of the page</p>" + (f"<i>{i}</i>" if i % 2 else f"<b>{i}</b>") + "</div>" * n + f"<nav>{'<div>' * n}menu{'</div>' * n}</nav><p>After {i}</p></div></body>"
+    for n in (150, 6000):
+        began = time.process_time()
+        out = html.texts_of([page(i, n) for i in range(5)])
+        assert time.process_time() - began < (1 if n == 150 else 20)
+        assert out == [f"Text {i} of the page\n{i}\nAfter {i}" for i in range(5)]
+    began = time.process_time()
+    html.texts_of(["<p>" + "</zzz>" * 50_000 + "<b>" * 50_000 + "</b></i>" * 50_000, "<p>" * 100_000, "x" * 2_000_000])
+    assert time.process_time() - began < 30
+
+
+def test_wrapper_learns_from_all_pages():
+    """What the first page lacks is learnt from the others; without the wrapper the same pages come out otherwise."""
+    extra = "<div><p>Our readers also subscribe to the weekly letter of this site</p></div>"
+    page = lambda i: f"<body><article><h1>Title {i}</h1>{'' if i == 0 else extra}<p>Words of article {i} stand here</p></article></body>"
+    group = [page(i) for i in range(6)]
+    alone = [html.texts_of([p])[0] for p in group]
+    assert "weekly letter" in alone[1]
+    plain = [f"Title {i}\nWords of article {i} stand here" for i in range(6)]
+    everywhere = [p.replace("</h1>", "</h1>" + extra) if i == 0 else p for i, p in enumerate(group)]
+    assert html.texts_of(everywhere) == plain
+    trees = [html.parse(p) for p in group]
+    html.induce(trees, list(range(6)))
+    slots = {id(n.slot) for t in trees[1:] for n in t if n.tag == "p" and "weekly" in html.own_text(n)}
+    assert len(slots) == 1
+
+
+def test_varying_text_outweighs_landmarks():
+    """A landmark with the same text on all pages is not where the article is."""
+    page = lambda i: f"<body><article><p>Welcome to the site of all articles</p></article><div><div><h2>Head {i}</h2><p>The text of number {i} is long and stands outside</p></div></div></body>"
+    assert html.texts_of([page(i) for i in range(5)]) == [f"Head {i}\nThe text of number {i} is long and stands outside" for i in range(5)]
+
+
+def test_groups_do_not_depend_on_partitions(spark):
+    page = lambda i: f"<body><div><div>Home of all</div><div><p>Article number {i} has its own long text here</p>{'<p>more</p>' * (i % 3)}</div><div>All rights reserved</div></div></body>"
+    df = spark.createDataFrame([(i, f"http://h{i % 2}.org/{i}", page(i)) for i in range(90)], "page_id long, url string, html string")
+    out = []
+    for n in (4, 211):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        out.append({r.page_id: r.text for r in html.main_text(df.repartition(n)).collect()})
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out[0] == out[1] and len(out[0]) == 90 and all(f"number {i} has" in t for i, t in out[0].items())
 
 
 def test_html_cases(spark):
