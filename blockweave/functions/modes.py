@@ -63,6 +63,9 @@ def is_directory(mode: Column) -> Column:
     return mode.bitwiseAND(S_IFDIR) == S_IFDIR
 
 
+def octal(number: Column) -> Column:
+    return F.conv(number.cast("string"), 10, 8)
+
+
 def show_mode(mode: Column) -> Column:
-    octal = F.lower(F.conv(mode.bitwiseAND(~S_IFMT & 0xFFFFFFFF).cast("string"), 10, 8))
-    return F.concat(F.when(is_regular(mode), "S_IFREG").otherwise(""), F.when(is_directory(mode), "S_IFDIR").otherwise(""), F.lit(" | 0o"), octal)
+    return F.concat(F.when(is_regular(mode), "S_IFREG").otherwise(""), F.when(is_directory(mode), "S_IFDIR").otherwise(""), F.lit(" | 0o"), octal(mode.bitwiseAND(~S_IFMT & 0xFFFFFFFF)))

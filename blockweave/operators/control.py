@@ -24,6 +24,22 @@ def lock_conflicts(ranges: DataFrame, align: int) -> DataFrame:
     return a.join(b, ["file_id", "blk"]).where((F.col("a") < F.col("b")) & (F.col("blk") * align == F.greatest("sa", "sb"))).select("file_id", "a", "b")
 
 
+def conflict_counts(ranges: DataFrame, align: int) -> DataFrame:
+    """file_id, n_conflicts: how many pairs of lock_conflicts() each file has, without listing them.
+
+    In the order of their starts each range overlaps, of those before it, all
+    that have not ended; so a pair is counted at its later start. Begins and
+    ends are summed by place first, which leaves a row a file and border.
+    """
+    rows = ranges.select("file_id", aligned(F.col("start"), align).alias("s"), aligned(F.col("end"), align, up=True).alias("e")).where("e > s")
+    events = rows.select("file_id", F.col("s").alias("at"), F.lit(1).alias("b"), F.lit(0).alias("e")).unionAll(rows.select("file_id", F.col("e").alias("at"), F.lit(0).alias("b"), F.lit(1).alias("e")))
+    per = events.groupBy("file_id", "at").agg(F.sum("b").alias("b"), F.sum("e").alias("e"))
+    before = W.partitionBy("file_id").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    still = F.coalesce(F.sum(F.col("b") - F.col("e")).over(before), F.lit(0)) - F.col("e")
+    pairs = per.withColumn("n", F.col("b") * still + F.call_function("div", F.col("b") * (F.col("b") - 1), F.lit(2)))
+    return pairs.groupBy("file_id").agg(F.sum("n").cast("long").alias("n_conflicts")).where("n_conflicts > 0")
+
+
 def max_dirty_blocks(dirty_bytes: int, dirty_blocks: int, block_size: int) -> int:
     return max(dirty_bytes // block_size, dirty_blocks)
 
@@ -50,6 +66,11 @@ def stat(inodes: DataFrame, block_size: int) -> DataFrame:
     return inodes.withColumn("blocks", F.call_function("div", F.col("size") + 511, F.lit(512))).withColumn("blksize", F.lit(block_size).cast("long"))
 
 
+def update_blocks(blocks: Column, diff: Column) -> Column:
+    """A file's blocks of 512 bytes after it grew or shrank by diff bytes."""
+    return blocks + F.signum(diff).cast("long") * F.call_function("div", F.abs(diff).cast("long") + 511, F.lit(512))
+
+
 def unlink(files: DataFrame, removed: DataFrame) -> DataFrame:
     """files without those whose file_id stands in removed."""
     return files.join(removed.select("file_id"), "file_id", "left_anti")

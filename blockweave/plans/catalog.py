@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import addressing as A, modes, names
+from ..functions import addressing as A, dumps, modes, names
 from ..operators import batch, blocks, control, fold, snapshots
 
 BLOCK, SPACE, SMALL = 4096, 4096, 256
@@ -78,7 +78,7 @@ def q03_range_read(spark, sf_dir):
 
 
 def q04_read_past_eof(spark, sf_dir):
-    return _read(spark, sf_dir, F.col("size") + F.pmod("file_id", F.lit(3)), F.lit(100)).select(F.col("file_id").alias("doc_id"), "bytes_read", F.md5("data").alias("digest"))
+    return _read(spark, sf_dir, F.greatest(F.col("size") - 50 + 40 * F.pmod("file_id", F.lit(3)), F.lit(0)), F.lit(100)).select(F.col("file_id").alias("doc_id"), "bytes_read", F.md5("data").alias("digest"))
 
 
 def q05_sparse_read(spark, sf_dir):
@@ -214,7 +214,7 @@ def q25_wal_replay(spark, sf_dir):
 def q26_range_lock_conflicts(spark, sf_dir):
     e = event_ops(spark, sf_dir)
     ranges = e.select(F.col("event_id").alias("id"), (F.col("file_id") * 1_000_000 + F.col("day")).alias("file_id"), F.col("offset").alias("start"), (F.col("offset") + 100).alias("end"))
-    return control.lock_conflicts(ranges, SMALL).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_conflicts"))
+    return control.conflict_counts(ranges, SMALL)
 
 
 def q27_flush_policy(spark, sf_dir):
@@ -271,6 +271,72 @@ def q35_dedup_blocks(spark, sf_dir):
     return blocks.duplicate_blocks(blocks.split_blocks(files(spark, sf_dir), 512))
 
 
+def _store(spark, **options):
+    """An empty store in the shared folder."""
+    from ..sources.store import BlockStore
+    from ..streaming.ingest import shared_folder
+
+    return BlockStore(spark, f"{shared_folder(spark)}/store", block_size=SMALL, now=lambda: 0.0, **options)
+
+
+def _halves(ops: DataFrame) -> list[DataFrame]:
+    """The log before and after the middle of its time."""
+    low, high = ops.agg(F.min("seq"), F.max("seq")).first()
+    if low is None:
+        return [ops]
+    return [ops.where(F.col("seq") < (low + high) // 2), ops.where(F.col("seq") >= (low + high) // 2)]
+
+
+def q36_log_recovery(spark, sf_dir):
+    """Half a log at a time goes to the write-ahead log, which a store opened after that commits."""
+    from ..config import RuntimeConfig
+
+    ops = event_ops(spark, sf_dir, zero=True)
+    store = _store(spark, log=True, runtime=RuntimeConfig.large())
+    for part in _halves(ops):
+        store.submit(part)
+    return folded(type(store)(spark, store.root, SMALL, log=True, now=lambda: 0.0).blocks())
+
+
+def q37_store_commits(spark, sf_dir):
+    """Writes, zeros and truncates in two commits; the blocks of the head that are not all zero."""
+    store = _store(spark)
+    for part in _halves(event_ops(spark, sf_dir, zero=True, truncate=True)):
+        store.apply(part)
+    return folded(store.blocks().where("kind = 'data'"))
+
+
+def q38_store_read(spark, sf_dir):
+    """Random reads of every file through the store."""
+    store = _store(spark)
+    store.apply(event_ops(spark, sf_dir))
+    asked = store.inodes().select("file_id", F.lit(100).cast("long").alias("offset"), F.lit(700).cast("long").alias("len"))
+    return store.read_many(asked).select("file_id", "bytes_read", F.md5(F.hex("data")).alias("digest"))
+
+
+def q39_store_unlink(spark, sf_dir):
+    """Sizes of the files that are left after a seventh of them went in one commit."""
+    store = _store(spark)
+    store.apply(event_ops(spark, sf_dir))
+    store.unlink_many(store.inodes().where("file_id % 7 = 0").select("file_id"))
+    return store.inodes().select("file_id", "size", "cno")
+
+
+def q40_store_time_travel(spark, sf_dir):
+    """The blocks as of the first of two commits."""
+    store = _store(spark)
+    for part in _halves(event_ops(spark, sf_dir, zero=True)):
+        store.apply(part)
+    return folded(store.snapshot(1).blocks())
+
+
+def q41_dump_text(spark, sf_dir):
+    """What is shown of inodes that are made from orders."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 977).alias("size"), (F.col("o_orderkey") % 512).alias("m"), F.timestamp_seconds(F.col("o_orderkey") * 1000).alias("at"))
+    shown = dumps.stat_text(F.col("o_orderkey"), F.col("size"), F.lit(1000), F.lit(1000), F.col("m") + modes.S_IFREG, F.lit(1), F.col("at"), F.col("at"), F.col("at"))
+    return rows.select("o_orderkey", shown.alias("shown"), dumps.config_text(F.lit(56), F.lit(4096), F.lit(8192), F.lit("MicroGroup")).alias("config"), control.update_blocks(F.col("o_orderkey"), F.col("m") - 256).alias("blocks"))
+
+
 QUERIES = {name: f for name, f in sorted(globals().items()) if name[0] == "q" and name[1:3].isdigit()}
 
 
@@ -318,7 +384,8 @@ ORACLE = {
     "q01_block_split": f"WITH {_SPLIT} SELECT doc_id, blk AS blk_idx, octet_length(p) AS len, md5(p) AS digest FROM parts",
     "q02_reassemble": f"WITH {_DOCS} SELECT doc_id, (n + {BLOCK - 1}) // {BLOCK} AS n_blocks, n AS n_bytes, md5(t) AS digest FROM docs WHERE n > 0",
     "q03_range_read": f"WITH {_DOCS} SELECT doc_id, greatest(least(5000, n - 1000), 0) AS bytes_read, md5(CASE WHEN n > 1000 THEN t[1001:least(6000, n)] ELSE ''::BLOB END) AS digest FROM docs",
-    "q04_read_past_eof": "SELECT doc_id, 0 AS bytes_read, md5(''::BLOB) AS digest FROM documents WHERE text IS NOT NULL",
+    "q04_read_past_eof": f"""WITH {_DOCS}, a AS (SELECT *, greatest(n - 50 + 40 * (doc_id % 3), 0) o FROM docs)
+        SELECT doc_id, greatest(least(100, n - o), 0) AS bytes_read, md5(CASE WHEN o < n THEN t[(o + 1):least(o + 100, n)] ELSE ''::BLOB END) AS digest FROM a""",
     "q05_sparse_read": f"""WITH {_SPLIT} SELECT d.doc_id, any_value(d.n) AS bytes_read, coalesce(sum(CASE WHEN blk % 2 = 0 THEN octet_length(p) END), 0)::BIGINT AS zero_bytes,
         md5(coalesce(string_agg(CASE WHEN blk % 2 = 0 THEN repeat('00', octet_length(p)) ELSE hex(p) END, '' ORDER BY blk), '')) AS digest FROM docs d LEFT JOIN parts USING (doc_id) GROUP BY d.doc_id""",
     "q06_ptr_micro_group": f"WITH {_PARTS} SELECT segid, o AS \"offset\", seq, {_MICRO} AS ptr, segid AS d_segid, o AS d_offset, seq >> 4 AS d_group FROM parts",
@@ -373,6 +440,16 @@ ORACLE = {
     "q33_commit_conflict": f"""WITH {_ops()}, w AS (SELECT f, event_id % 2 wr, min(s) t FROM ops GROUP BY ALL), r AS (SELECT f, wr, row_number() OVER (PARTITION BY f ORDER BY t) c FROM w),
         two AS (SELECT ops.* REPLACE (c::HUGEINT * 100000000000000000 + s AS s) FROM ops JOIN r ON ops.f = r.f AND ops.event_id % 2 = r.wr), {_bytes('two')}, {_blocks()}
         SELECT k.*, head, head > 1 AS rebased FROM ({_CONTENT}) k JOIN (SELECT f AS file_id, max(c) head FROM r GROUP BY f) USING (file_id)""",
+    "q34_streaming_equals_batch": f"WITH {_ops(True, True)}, {_bytes()}, {_blocks()} SELECT f AS file_id, blk AS blk_idx, md5(hx) AS streamed, md5(hx) AS folded, true AS equal FROM blocks",
+    "q36_log_recovery": f"WITH {_ops(True)}, {_bytes()}, {_blocks()} {_CONTENT}",
+    "q37_store_commits": f"WITH {_ops(True, True)}, {_bytes()}, {_blocks()} {_CONTENT} WHERE hx <> repeat('00', {SMALL})",
+    "q38_store_read": f"""WITH {_ops()}, {_bytes()}, {_blocks()}, r AS (SELECT f, greatest(least(700, max(o + 8) - 100), 0) n FROM ops GROUP BY f), p AS (SELECT f, 100 + i pos FROM r, unnest(range(n)) t(i))
+        SELECT r.f AS file_id, r.n AS bytes_read, md5(coalesce(string_agg(CASE WHEN p.pos IS NOT NULL THEN coalesce(b, '00') END, '' ORDER BY p.pos), '')) AS digest FROM r LEFT JOIN p ON p.f = r.f LEFT JOIN blocks_last l ON l.f = p.f AND l.pos = p.pos GROUP BY r.f, r.n""",
+    "q39_store_unlink": f"WITH {_ops()} SELECT f AS file_id, max(o + 8) AS size, 1 AS cno FROM ops WHERE f % 7 <> 0 GROUP BY f",
+    "q40_store_time_travel": f"WITH {_ops(True)}, seen AS (SELECT * FROM ops WHERE s < (SELECT (min(s) + max(s)) // 2 FROM ops)), {_bytes('seen')}, {_blocks()} {_CONTENT}",
+    "q41_dump_text": """SELECT o_orderkey, '==== dump Stat ino: ' || o_orderkey || ' ====' || chr(10) || '  file size: ' || z || ', blocks: ' || (z + 511) // 512 || chr(10) || '  uid: 1000, gid: 1000, mode: 0o' || format('{:o}', 32768 + m) || ', nlink: 1, dev: 0, rdev: 0' || chr(10)
+        || '  access time: ' || t || chr(10) || '  change time: ' || t || chr(10) || '  modify time: ' || t AS shown, 'root size: 56, meta block size: 4096, data block size: 8192, block ptr format: MicroGroup' AS config,
+        o_orderkey + sign(m - 256)::BIGINT * ((abs(m - 256) + 511) // 512) AS blocks FROM (SELECT o_orderkey, o_orderkey * 977 z, o_orderkey % 512 m, strftime(to_timestamp(o_orderkey * 1000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') t FROM orders)""",
     "q35_dedup_blocks": f"""WITH {_DOCS}, parts AS (SELECT doc_id, t[(i * 512 + 1):least((i + 1) * 512, n)] p FROM docs, unnest(range((n + 511) // 512)) u(i))
         SELECT md5(p) AS digest, count(*) AS copies, count(DISTINCT doc_id) AS files FROM parts GROUP BY 1 HAVING count(*) > 1""",
 }

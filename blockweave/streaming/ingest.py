@@ -31,7 +31,12 @@ def ingest(ops: DataFrame, store: BlockStore, checkpoint: str, ordered_by: str =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the place that spark.checkpoint.dir names; only a local session may leave that out."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/blockweave-{uuid.uuid4().hex}"
 
 

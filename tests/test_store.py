@@ -180,3 +180,95 @@ def test_cursor_and_aligned_batch(spark, store):
         FileCursor(store.snapshot(1), 1).write(b"x")
     with pytest.raises(FileNotFoundError):
         FileCursor(store, 9)
+
+
+def test_a_writer_that_died_wedges_nothing(spark, store):
+    """A record without its end is put aside once it is old; a slow writer loses to whoever did that."""
+    import time
+
+    store.write(1, 0, b"one")
+    fs, at = store._fs(f"{store.root}/commits/{2:010d}")
+    out = fs.create(at, False)
+    out.write(bytearray(b'{"attempt": "half'))
+    assert store.commits() == [1] and store.read(1, 0, 9) == b"one"
+    store.now = lambda: 0.0
+    with pytest.raises(S.Conflict):
+        store.write(1, 0, b"two")
+    store.now = lambda: time.time() + 60
+    assert store.write(1, 0, b"two") == 2 and BlockStore(spark, store.root, BS).read(1, 0, 9) == b"two"
+    out.close()
+    assert store.recover(lambda: 0) is None and store.write(1, 3, b"!") == 3 and store.read(1, 0, 9) == b"two!"
+
+
+def test_log(spark, tmp_path):
+    """Logged operations are committed by the policy, before a read, and when the store is opened again."""
+    root, clock = f"file://{tmp_path}/l", [100.0]
+    settings = RuntimeConfig(dirty_bytes=BS * 4, dirty_blocks=4)
+    new = lambda: BlockStore(spark, root, BS, sleep=lambda s: None, log=True, runtime=settings, now=lambda: clock[0])
+    ops = lambda *rows: spark.createDataFrame([(f, k, "write" if d else "write_zero", o, len(d or b"") or n, d) for k, (f, o, d, n) in enumerate(rows)], OPS)
+    store = new()
+    assert store.submit(ops((1, 0, b"abcdef", 0), (1, 2, None, 2))) is None and store.commits() == []
+    assert store.submit(ops((1, 5, b"Z", 0))) is None and store.wal.segments() == [0]
+    assert [(r.key, r.is_zero) for r in store.wal.chunks(0).collect()] == [("wal/0000000000/0_0_6", False), ("wal/0000000000/1_2_2", True), ("wal/0000000000/2_5_1", False)]
+    assert store.wal.read_chunk(1, 0, 0) == b"abcdef" and store.wal.read_chunk(1, 0, 1) == b"\0\0" and store.wal.read_chunk(2, 0, 0) is None
+    assert "PartitionFilters: [isnotnull(segid" in store.wal.chunks(0)._jdf.queryExecution().toString()
+    unopened = BlockStore(spark, root, BS)
+    unopened.wal = store.wal
+    with pytest.raises(S.Busy):
+        unopened.create(1)
+    again = new()  # as after a crash
+    assert again.commits() == [1] and again.wal.segments() == [] and again.read(1, 0, 9) == b"ab\0\0eZ"
+    again.submit(ops((1, 0, b"Q", 0)))
+    assert again.read(1, 0, 2) == b"Qb" and again.commits() == [1, 2]  # reads see what was logged
+    assert again.submit(ops(*[(2, BS * k, b"x" * BS, 0) for k in range(6)])) == 3  # too many dirty blocks
+    clock[0] += 6
+    assert again.submit(ops((2, 1, b"y", 0))) == 4  # too long ago
+    again.submit(ops((2, 0, b"t", 0)))
+    again.unlink(2)
+    assert again.commits() == [1, 2, 3, 4, 5, 6] and new().commits()[-1] == 6
+    again.wal.write(9, 5, 0, b"old")  # a commit after segment 5 holds nothing of file 9 yet
+    again.wal.write(2, 5, 0, b"gone")  # that of file 2 does
+    last = new()
+    assert last.read(9, 0, 5) == b"old"
+    with pytest.raises(FileNotFoundError):
+        last.read(2, 0, 1)
+    with pytest.raises(ValueError):
+        last.submit(spark.createDataFrame([(1, 0, "truncate", 0, 1, None)], OPS))
+
+
+def test_attributes_make_no_commit(spark, store):
+    clock = [1000.0]
+    store.now = lambda: clock[0]
+    store.create(1)
+    clock[0] = 2000.0
+    assert store.chmod(1, 0o640) == 1 and store.chown(1, 3, 4) == 1 and store.commits() == [1]
+    got = store.stat(1)
+    assert (got["mode"], got["uid"], got["gid"], got["ctime"], got["mtime"]) == (0o100640, 3, 4, 1000.0, 1000.0)
+    store.write(1, 0, b"abc")
+    got = store.stat(1)
+    assert (got["mode"], got["uid"], got["mtime"], got["ctime"]) == (0o100640, 3, 2000.0, 1000.0)
+    clock[0] = 3000.0
+    store.read(1, 0, 1)
+    assert store.stat(1)["atime"] == 3000.0 and BlockStore(spark, store.root, BS).stat(1)["atime"] == 1000.0
+    store.flush_times()
+    assert BlockStore(spark, store.root, BS).stat(1)["atime"] == 3000.0 and store.commits() == [1, 2]
+    assert store.snapshot(1).stat(1)["size"] == 0 and store.snapshot(1).stat(1)["uid"] == 3
+
+
+def test_reads_are_pruned(spark, store):
+    store.write(1, 0, bytes(range(1, 100)))
+    store.write(2, 0, b"x" * 40)
+    own = (F.col("file_id") == 1) & F.col("blk_idx").between(1, 2)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    plan = store.blocks(own)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(file_id,1)" in plan and "LessThanOrEqual(blk_idx,2)" in plan
+    versions = store.versions(own)._jdf.queryExecution().executedPlan().toString()
+    assert "data:binary" not in versions
+    reads = []
+    real = store._read
+    store._read = lambda path: (reads.append(path), real(path))[1]
+    for _ in range(3):
+        store.read(1, 20, 5)
+    assert reads == []  # known records are not read again
+    assert store.exists("commits/0000000001") and not store.exists("commits/0000000009")
+    assert store.objects("data").where("path LIKE '%segments%parquet' AND bytes > 0").count() >= 2
