@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import decontaminate, html, lines, minhash, pieces, pii, quality, secrets, sql, token_counts, urls
 from .common import table
@@ -36,6 +36,16 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, urls.rule_table(spark), urls.link_edges(pages))
 
 
+def url_alias_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL filter on pages that are linked: two of three name the page before them as canonical or redirect to it."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    before = pages.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("target"))
+    link = F.when(F.col("page_id") % 3 == 1, F.concat(F.lit('<link rel="canonical" href="'), "target", F.lit('">')))
+    link = link.when(F.col("page_id") % 3 == 2, F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), "target", F.lit('">')))
+    linked = pages.join(before, "page_id", "left").select("page_id", "url", F.coalesce(link, F.lit("")).alias("html"))
+    return urls.judge_urls(linked, urls.rule_table(spark), urls.link_edges(linked))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -69,6 +79,7 @@ QUERIES = {
         op3_sampled_pieces,
         op4_secret_scan,
         op5_url_filter,
+        url_alias_chains,
         op6_html_text,
         op7_quality_rules,
         op8_decontamination,

@@ -37,6 +37,10 @@ comp AS (SELECT alias_of, coalesce(bool_or(act = 'block'), false) blocked FROM n
 SELECT page_id, host, path, rule, coalesce(best.act, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict, nodes.alias_of
 FROM best LEFT JOIN nodes ON regexp_replace(url, '#.*$', '') = node LEFT JOIN comp ON comp.alias_of = nodes.alias_of"""
 
+_LINKED = """(SELECT p.page_id, p.url, CASE WHEN p.page_id % 3 = 1 THEN coalesce('<link rel="canonical" href="' || q.url || '">', '') WHEN p.page_id % 3 = 2 THEN coalesce('<meta http-equiv="refresh" content="0; url=' || q.url || '">', '') ELSE '' END html
+  FROM pages p LEFT JOIN pages q ON q.page_id + 1 = p.page_id)"""
+URL_ALIAS_CHAINS = URL_FILTER.replace("html FROM pages)", f"html FROM {_LINKED})")
+
 _BUCKET = "({0} >> greatest(length(bin({0})) - 7, 0)) << greatest(length(bin({0})) - 7, 0)"
 
 
@@ -79,6 +83,7 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0)
 ORACLE = {
     "op2_near_duplicates": NEAR_DUPLICATES,
     "op5_url_filter": URL_FILTER,
+    "url_alias_chains": URL_ALIAS_CHAINS,
     "op7_quality_rules": QUALITY,
     "op8_decontamination": DECONTAMINATION,
 }

@@ -9,7 +9,7 @@ from urllib.parse import urljoin
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .common import map_batches, materialize, stage_dir
+from .common import discard, map_batches, materialize, small, stage_dir
 from .graph import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -141,16 +141,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame, id_col="pag
     allowed. A url's own allow rule stands whatever its aliases are. Null urls
     and urls without :// have empty host and path, no rule and no aliases.
     alias_of is the smallest url of the component, null without edges. Repeated
-    rows are each judged; other columns are ignored.
+    rows are each judged, null ids too; urls may be of any length; other columns
+    are ignored; an empty table gives no rows.
     """
-    spark = pages.sparkSession
+    spark, at = pages.sparkSession, stage_dir(pages.sparkSession)
     df = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("bw_url"))
     df = with_rules(df.withColumns({"bw_host": host_of(F.col("bw_url")), "bw_path": path_of(F.col("bw_url"))}), rules)
-    linked = materialize(spark, components(edges), stage_dir(spark), "aliases")
+    linked = materialize(spark, components(edges, at, "links"), at, "aliases")
     nodes = with_rules(linked.withColumns({"bw_host": host_of(F.col("node")), "bw_path": path_of(F.col("node"))}), rules)
     blocked = nodes.groupBy("component").agg(F.bool_or(F.coalesce(F.col("action") == "block", F.lit(False))).alias("bw_blocked"))
     aliases = linked.join(blocked, "component").select(F.col("node").alias("bw_key"), F.col("component").alias("alias_of"), "bw_blocked")
-    joined = df.withColumn("bw_key", key_of(F.col("bw_url"))).join(aliases, "bw_key", "left")
+    aliases = materialize(spark, aliases, at, "blocked")
+    discard(spark, at, keep=("blocked",))
+    # few pages have aliases as a rule; null urls and very common ones then need no shuffle
+    joined = df.withColumn("bw_key", key_of(F.col("bw_url"))).join(small(aliases, 400), "bw_key", "left")
     verdict = F.coalesce("action", F.when(F.col("bw_blocked"), F.lit("block")), F.lit("allow"))
     return joined.select(id_col, F.col("bw_host").alias("host"), F.col("bw_path").alias("path"), "rule", verdict.alias("verdict"), "alias_of")
 
