@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .common import map_batches
+from .common import BROADCAST_BYTES, discard, map_batches, materialize, stage_dir
 
 #: Lower-cases A-Z and turns every other ASCII character than a-z and 0-9 into a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -155,18 +155,12 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """Broadcasts of the items, each of about block_bytes of text.
-
-    The size is measured first; a larger set is dealt into more blocks by the
-    hash of its id, and only one block is on the driver at a time.
-    """
+def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
+    """The items (name, body) in blocks of about block_bytes of text; the size is measured, and more are dealt by the hash of the id."""
     items = items.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("body")).where("name IS NOT NULL AND body IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("name"), F.lit(n)) == k)
-        yield items.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
+    return [items if n == 1 else items.where(F.pmod(F.xxhash64("name"), F.lit(n)) == k) for k in range(n)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -174,38 +168,64 @@ def _index(key, broadcast, window: int) -> ItemIndex:
     return ItemIndex([(name, words_of(text)) for name, text in broadcast.value], window)
 
 
-#: Of the hits while blocks are gone through: word spans as start, end, start, end ...
+#: Word spans as start, end, start, end ...
 SPANS = ArrayType(LongType())
+FOUND = [StructField("bw_spans", SPANS), StructField("bw_items", ArrayType(StringType())), StructField("bw_longest", LongType())]
+
+
+def block_matches(texts: DataFrame, block: DataFrame, window: int, schema: StructType):
+    """The columns of texts (..., bw_text last) with what one block of items has in each text; and the block's broadcast."""
+    broadcast = block.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])
+
+    def make():
+        index = _index(id(broadcast.value), broadcast, window)
+
+        def step(batch):
+            found = [index.match(words_of(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            spans = [[x for pair in merge(hits) for x in pair] for hits, _, _ in found]
+            return [*batch.columns, spans, [sorted(names) for _, names, _ in found], [n for _, _, n in found]]
+
+        return step
+
+    return map_batches(texts, schema, make), broadcast
 
 
-def match_items(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+def match_items(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
     """For each document: bw_id, bw_text, bw_spans (hit words, merged), bw_items, bw_longest.
 
-    One narrow pass over the documents for each block of items; no shuffle.
+    Items of up to block_bytes are one automaton, and the documents are gone
+    through once, without a shuffle. An automaton takes some 150 times the
+    bytes of its items, so larger sets are worked on a block after the other:
+    only one is in memory at a time, what it finds is written under the hashes
+    of the texts, and at the end these rows are joined to the documents.
     """
-    own = docs.schema[id_col].dataType
-    df = docs.select(F.col(id_col).alias("bw_id"), F.col(text_col).cast("string").alias("bw_text"), F.array().cast(SPANS).alias("bw_spans"), F.array().cast("array<string>").alias("bw_items"), F.lit(0).cast("long").alias("bw_longest"))
-    schema = StructType([StructField("bw_id", own), StructField("bw_text", StringType()), StructField("bw_spans", SPANS), StructField("bw_items", ArrayType(StringType())), StructField("bw_longest", LongType())])
-    for broadcast in item_blocks(items, item_id, item_text, block_bytes):
-
-        def make(broadcast=broadcast):
-            index = _index(id(broadcast.value), broadcast, window)
-
-            def step(batch):
-                spans, found, longest = (batch.column(i).to_pylist() for i in (2, 3, 4))
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    hits, names, most = index.match(words_of(text))
-                    if hits:
-                        old = list(zip(spans[i][::2], spans[i][1::2]))
-                        spans[i] = [x for pair in merge(old + hits) for x in pair]
-                        found[i] = sorted({*found[i], *names})
-                    longest[i] = max(longest[i], most)
-                return [batch.column(0), batch.column(1), spans, found, longest]
-
-            return step
-
-        df = map_batches(df, schema, make)
-    return df
+    df = docs.select(F.col(id_col).alias("bw_id"), F.col(text_col).cast("string").alias("bw_text"))
+    blocks = item_blocks(items, item_id, item_text, block_bytes)
+    if len(blocks) == 1:
+        return block_matches(df, blocks[0], window, StructType([*df.schema.fields, *FOUND]))[0]
+    spark, at = docs.sparkSession, stage_dir(docs.sparkSession)
+    print_ = lambda: (F.xxhash64("bw_text").alias("bw_h"), F.xxhash64("bw_text", F.lit(1)).alias("bw_g"))
+    texts, parts = df.select(*print_(), "bw_text"), []
+    for k, block in enumerate(blocks):
+        found, broadcast = block_matches(texts, block, window, StructType([*texts.schema.fields, *FOUND]))
+        parts.append(materialize(spark, found.where("bw_longest > 0").drop("bw_text"), at, f"block-{k}"))
+        broadcast.destroy()
+    every = functools.reduce(DataFrame.unionAll, parts).distinct()
+    merged = every.groupBy("bw_h", "bw_g").agg(F.flatten(F.collect_list("bw_spans")).alias("bw_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("bw_items")))).alias("bw_items"), F.max("bw_longest").alias("bw_longest"))
+    merged = materialize(spark, merged, at, "merged")
+    discard(spark, at, keep=("merged",))
+    size = merged.agg(F.sum(64 + 16 * F.size("bw_spans") + 64 * F.size("bw_items"))).first()[0] or 0
+    joined = df.select("*", *print_()).join(F.broadcast(merged) if size <= BROADCAST_BYTES else merged, ["bw_h", "bw_g"], "left")
+    joined = joined.select("bw_id", "bw_text", F.coalesce("bw_spans", F.array().cast(SPANS)).alias("bw_spans"), F.coalesce("bw_items", F.array().cast("array<string>")).alias("bw_items"), F.coalesce("bw_longest", F.lit(0)).cast("long").alias("bw_longest"))
+
+    def make():
+        def step(batch):
+            spans = [[x for pair in merge(list(zip(s[::2], s[1::2]))) for x in pair] for s in batch.column(2).to_pylist()]
+            return [batch.column(0), batch.column(1), spans, batch.column(3), batch.column(4)]
+
+        return step
+
+    return map_batches(joined, StructType([*df.schema.fields, *FOUND]), make)
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col="doc_id", **options) -> DataFrame:
