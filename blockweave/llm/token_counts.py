@@ -1,26 +1,29 @@
-"""Exact token counts of every prefix of a text.
+"""Exact token counts of every prefix of a text, by dynamic programming over its places.
 
-A prefix table is filled left to right: the count up to the end of a chunk is
-the count up to the end of the chunk before plus the chunk's own tokens, which
-do not depend on what stands around it. Inside a chunk, each prefix of that
-chunk has its own entry, filled when it is first asked for. The table answers
-how many tokens a prefix has, and how long a prefix fits a budget, without
-encoding the text again.
+The last token of every prefix follows from those of shorter prefixes: it is the
+vocabulary entry that ends there and that byte-pair merging leaves beside the
+last token of what stands before it. So the count of a prefix is one more than
+the count before its last token, and one pass from left to right stores the
+exact counts of all prefixes. They answer how many tokens a prefix has and how
+long a prefix fits a budget by a lookup; no text is encoded again.
 
 A chunk is a run of bytes without ASCII white space. The tokenizer's
 pre-tokens never cross white space and its normalizer never joins across it,
-so chunks are independent.
+so chunks are independent, and each different one is worked out once. Where
+only ends of chunks are asked for, the library counts each different piece.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
+import unicodedata
 from bisect import bisect_right
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from .common import map_batches
@@ -31,6 +34,96 @@ ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 SPECIAL = b"<|"
 
 
+#: The pre-token pattern of the vocabulary's file.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Blocks of characters that never join with the one before when normalised.
+ALONE = ((0x21, 0x2FF), (0x370, 0x482), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte: itself where it is printable Latin-1, else the next from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    kept = set(own)
+    return [chr(b) if b in kept else chr(next(rest)) for b in range(256)]
+
+
+class Merges:
+    """Byte-pair merging of one pre-token, for all its prefixes at once."""
+
+    def __init__(self, vocabulary: str, memo_limit: int = 400_000):
+        import regex
+
+        model = json.loads(vocabulary)["model"]
+        self.tokens, self.end = set(model["vocab"]), model["end_of_word_suffix"]
+        self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
+        self.longest = max(len(t.removesuffix(self.end)) for t in self.tokens)
+        self.letters, self.split = byte_letters(), regex.compile(PIECES)
+        self.beside: dict[tuple[str, str], bool] = {}
+        self.memo_limit = memo_limit
+
+    def symbols(self, token: str) -> list[str]:
+        return [*token[: -len(self.end) - 1], token[-len(self.end) - 1 :]] if token.endswith(self.end) else list(token)
+
+    def merged(self, symbols: list[str]) -> list[str]:
+        """What is left when the pair of the lowest rank is merged again and again."""
+        while len(symbols) > 1:
+            rank, at = min((self.ranks.get(pair, len(self.ranks)), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
+            if rank == len(self.ranks):
+                break
+            symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
+        return symbols
+
+    def stay(self, before: str, last: str) -> bool:
+        """Whether both tokens stay as they are beside each other; before is empty where a pre-token begins."""
+        found = self.beside.get((before, last))
+        if found is None:
+            if len(self.beside) >= self.memo_limit:
+                self.beside.clear()
+            want = [before, last] if before else [last]
+            found = self.beside[before, last] = self.merged([x for t in want for x in self.symbols(t)]) == want
+        return found
+
+    def prefixes(self, letters: str) -> list[int]:
+        """Tokens of each prefix of a pre-token, each ended as a pre-token is."""
+        lasts, inner, ended = [""], [0], [0]
+        for i in range(1, len(letters) + 1):
+            here = outer = None
+            for k in range(min(i, self.longest), 0, -1):
+                part = letters[i - k : i]
+                before = lasts[i - k]
+                if before is None:
+                    continue
+                if here is None and part in self.tokens and self.stay(before, part):
+                    here = part, inner[i - k] + 1
+                if outer is None and part + self.end in self.tokens and self.stay(before, part + self.end):
+                    outer = inner[i - k] + 1
+                if here and outer:
+                    break
+            lasts.append(here[0] if here else None)
+            inner.append(here[1] if here else 0)
+            ended.append(outer)
+        return ended
+
+    def plain(self, chunk: str) -> bool:
+        """Whether every character of the chunk is normalised on its own."""
+        return all(any(a <= ord(c) <= b for a, b in ALONE) and c.isprintable() for c in chunk) and unicodedata.is_normalized("NFC", chunk)
+
+    def chunk(self, chunk: str) -> list[int]:
+        """Tokens of each prefix of a chunk, in code points, the empty one first."""
+        small = [c.lower() for c in chunk]
+        text = "".join(small)
+        counts, total = [0] * (len(text) + 1), 0
+        for m in self.split.finditer(text):
+            sizes = [len(c.encode()) for c in m[0]]
+            ended = self.prefixes("".join([self.letters[b] for b in m[0].encode()]))
+            for k, at in enumerate(accumulate(sizes), 1):
+                # an apostrophe and one letter of a longer ending are two pre-tokens
+                counts[m.start() + k] = total + (2 if m[0][0] == "'" and len(m[0]) == 3 and k == 2 else ended[at])
+            total += ended[-1]
+        return [counts[n] for n in accumulate(map(len, small), initial=0)]
+
+
 class PrefixCounter:
     """Counts tokens of texts by chunk, with a bounded memo of chunks."""
 
@@ -41,6 +134,8 @@ class PrefixCounter:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
+        self.merges = Merges(vocabulary)
+        self.tables: dict[str, list[int]] = {}
         self.memo: dict[bytes, int] = {}
         self.pieces: dict[str, int] = {}
         self.memo_limit = memo_limit
@@ -87,32 +182,50 @@ class PrefixCounter:
         return ends, list(accumulate(self.counts(self.chunks(text))))
 
     def inside(self, chunk: str) -> list[int]:
-        """Tokens of every prefix of one chunk, the empty one first."""
-        return [0] + [self._whole(chunk[:i]) for i in range(1, len(chunk) + 1)]
-
-    def tokens_at(self, text: str, table: tuple[list[int], list[int]], position: int) -> int:
-        """Tokens of text[:position], from the table of the whole text."""
-        ends, counts = table
-        k = bisect_right(ends, position)
-        before, start = (counts[k - 1], ends[k - 1]) if k else (0, 0)
-        rest = text[start:position].lstrip(" \t\n\x0b\x0c\r") if k < len(ends) else ""
-        return before + (self._whole(rest) if rest else 0)
-
-    def fits(self, text: str, table: tuple[list[int], list[int]], budget: int) -> int:
+        """Tokens of every prefix of one chunk, the empty one first.
+
+        Chunks with special strings, or with characters that the normalizer may
+        join, are the library's.
+        """
+        found = self.tables.get(chunk)
+        if found is None:
+            if "<|" in chunk or not self.merges.plain(chunk):
+                found = [0] + [self._whole(chunk[:i]) for i in range(1, len(chunk) + 1)]
+            else:
+                found = self.merges.chunk(chunk)
+            if len(chunk) <= 64:
+                if len(self.tables) >= 100_000:
+                    self.tables.clear()
+                self.tables[chunk] = found
+        return found
+
+    def prefixes(self, text: str) -> np.ndarray:
+        """The exact count at every prefix: entry i is that of text[:i]."""
+        out, total, at = np.zeros(len(text) + 1, dtype=np.int32), 0, 0
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+            own = self.inside(m[0])
+            out[at : m.start() + 1] = total
+            out[m.start() : m.end() + 1] = own
+            out[m.start() : m.end() + 1] += total
+            total, at = int(out[m.end()]), m.end()
+        out[at:] = total
+        return out
+
+    def fits(self, text: str, budget: int, counts: list[int] | None = None) -> int:
         """The longest prefix, in code points, of at most budget tokens.
 
-        Counts inside a chunk need not grow with every character, so all
-        prefixes of the one chunk that crosses the budget are looked at.
+        Counts of prefixes need not grow with every character, but those of
+        chunks do, so only the chunk that crosses the budget is looked into.
+        counts are those up to the end of each chunk.
         """
-        ends, counts = table
-        if not counts or counts[-1] <= budget:
+        counts = list(accumulate(self.counts(self.chunks(text)))) if counts is None else counts
+        if not len(counts) or counts[-1] <= budget:
             return len(text)
         k = bisect_right(counts, budget)
-        before, start = (counts[k - 1], ends[k - 1]) if k else (0, 0)
-        chunk = text[start : ends[k]]
-        body = chunk.lstrip(" \t\n\x0b\x0c\r")
-        inner = self.inside(body)
-        return start + len(chunk) - len(body) + max(i for i, n in enumerate(inner) if before + n <= budget)
+        m = next(islice(re.finditer(r"[^\x20\x09-\x0D]+", text), k, None))
+        before = int(counts[k - 1]) if k else 0
+        inner = self.inside(m[0])
+        return m.start() + max(i for i, n in enumerate(inner) if before + n <= budget)
 
 
 @functools.lru_cache(maxsize=2)
@@ -131,7 +244,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     Returns id_col, n_bytes, n_tokens, over_limit, budget_bytes: the UTF-8
     length, the exact count without added special tokens, whether it exceeds
-    the budget, and the bytes up to the end of the last chunk that still fits.
+    the budget, and the bytes of the longest prefix that still fits.
     A null text counts as empty; null ids are kept; repeated rows stay
     repeated; an empty table gives no rows; other columns are ignored. Long
     texts are counted whole.
@@ -148,15 +261,11 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
                 text = text or ""
                 chunks = count.chunks(text)
                 prefix = np.cumsum(count.counts(chunks), dtype=np.int64) if chunks else np.zeros(0, np.int64)
-                data = text.encode("utf-8", "surrogatepass")
+                size = len(text.encode("utf-8", "surrogatepass"))
                 total = int(prefix[-1]) if len(prefix) else 0
-                n_bytes.append(len(data))
+                n_bytes.append(size)
                 n_tokens.append(total)
-                if total <= budget:
-                    fits.append(len(data))
-                else:
-                    k = int(np.searchsorted(prefix, budget, side="right"))
-                    fits.append(nth_end(data, k))
+                fits.append(size if total <= budget else len(text[: count.fits(text, budget, prefix)].encode("utf-8", "surrogatepass")))
             return [batch.column(0), n_bytes, n_tokens, [n > budget for n in n_tokens], fits]
 
         return step
@@ -164,35 +273,31 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     return map_batches(docs.select(id_col, F.col(text_col).cast("string")), schema, make)
 
 
-def nth_end(data: bytes, k: int) -> int:
-    """Where the k-th chunk of data ends."""
-    end = 0
-    for i, m in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", data)):
-        if i == k:
-            break
-        end = m.end()
-    return end
-
-
 def prefix_tables(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored prefix tables: id_col, ends and tokens (arrays of int).
+    """The stored prefix tables: id_col and tokens, an array of int.
 
-    tokens[i] is the exact token count of the first ends[i] code points. Null
-    texts get empty arrays.
+    tokens[i] is the exact token count of the first i code points, from 0 to
+    all of them. Null texts have an empty array.
     """
     vocabulary = _vocabulary(docs, vocabulary_path)
-    schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("ends", ArrayType(IntegerType())), StructField("tokens", ArrayType(IntegerType()))])
+    schema = StructType([StructField(id_col, docs.schema[id_col].dataType), StructField("tokens", ArrayType(IntegerType()))])
 
     def make():
         count = counter(vocabulary.value)
+        return lambda batch: [batch.column(0), [[] if t is None else count.prefixes(t) for t in batch.column(1).to_pylist()]]
 
-        def step(batch):
-            tables = [count.table(t or "") for t in batch.column(1).to_pylist()]
-            return [batch.column(0), [t[0] for t in tables], [t[1] for t in tables]]
+    return map_batches(docs.select(id_col, F.col(text_col).cast("string")), schema, make)
 
-        return step
 
-    return map_batches(docs.select(id_col, F.col(text_col).cast("string")), schema, make)
+def tokens_at(tables: DataFrame, position: Column, tokens_col: str = "tokens") -> DataFrame:
+    """tables with n_tokens, the count of the prefix of position code points; beyond the end, of the whole text."""
+    return tables.withColumn("n_tokens", F.coalesce(F.get(tokens_col, F.least(position, F.size(tokens_col) - 1)), F.lit(0)))
+
+
+def longest_within(tables: DataFrame, budget: Column, tokens_col: str = "tokens") -> DataFrame:
+    """tables with n_chars, the longest prefix whose count is at most budget, read off the stored counts."""
+    places = F.transform(tokens_col, lambda n, i: F.when(n <= budget, i).otherwise(0))
+    return tables.withColumn("n_chars", F.coalesce(F.array_max(places), F.lit(0)))
 
 
 def truncate(docs: DataFrame, vocabulary_path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +309,7 @@ def truncate(docs: DataFrame, vocabulary_path: str, budget: int, id_col: str = "
         count = counter(vocabulary.value)
 
         def step(batch):
-            return [batch.column(0), [None if t is None else t[: count.fits(t, count.table(t), budget)] for t in batch.column(1).to_pylist()]]
+            return [batch.column(0), [None if t is None else t[: count.fits(t, budget)] for t in batch.column(1).to_pylist()]]
 
         return step
 

@@ -45,12 +45,50 @@ def test_counts_as_the_library(text):
 
 def test_every_prefix_and_budget(library):
     text = "It's a long-winded test, don't you think? 12345 naïve cafés " * 4
-    table = COUNTER.table(text)
     exact = [n_tokens(library, text[:i]) for i in range(len(text) + 1)]
-    assert [COUNTER.tokens_at(text, table, i) for i in range(len(text) + 1)] == exact
+    assert COUNTER.prefixes(text).tolist() == exact
     for budget in (0, 1, 7, 20, 1000):
-        cut = COUNTER.fits(text, table, budget)
-        assert exact[cut] <= budget and all(n > budget for n in exact[cut + 1 : cut + 2])
+        assert COUNTER.fits(text, budget) == max(i for i, n in enumerate(exact) if n <= budget)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aeiounstrhlIK'sdtmv.,-éßİ語한ж09 <|\u00a0")), max_size=30))
+def test_stored_counts_are_the_librarys(text):
+    from tokenizers import Tokenizer  # noqa: F401
+
+    assert COUNTER.prefixes(text).tolist() == [n_tokens(COUNTER.library, text[:i]) for i in range(len(text) + 1)]
+
+
+def test_prefixes_of_words_and_runs(library, monkeypatch):
+    """The dynamic programme alone, on words, endings, numbers and runs without blanks; linear on long ones."""
+    import base64
+    import random
+    import time
+
+    r = random.Random(3)
+    words = ["internationalisation", "they're", "we'll've", "''re", "don't!!!'s", "antidisestablishmentarianism", "日本語日本語", "привет", "x1y22z", base64.b64encode(r.randbytes(60)).decode()]
+    words += ["".join(r.choices("etaoinshrdlucm", k=r.randrange(2, 18))) for _ in range(150)]
+    want = {w: [n_tokens(library, w[:i]) for i in range(len(w) + 1)] for w in words}
+    monkeypatch.setattr(COUNTER, "_whole", None)
+    for w in words:
+        assert COUNTER.merges.plain(w) and COUNTER.merges.chunk(w) == want[w], w
+    long = base64.b64encode(r.randbytes(150_000)).decode()
+    began = time.process_time()
+    assert len(COUNTER.inside(long)) == len(long) + 1 and time.process_time() - began < 60
+    monkeypatch.undo()
+    assert COUNTER.prefixes(long)[-1] == n_tokens(library, long)
+
+
+def test_stored_tables_answer_questions(spark, library):
+    from pyspark.sql import functions as F
+
+    texts = [t for t in hard_texts() if t is None or len(t) < 400]
+    tables = token_counts.prefix_tables(docs(spark, texts, tokens="x"), PATH)
+    at = {r.doc_id: r.n_tokens for r in token_counts.tokens_at(tables, F.lit(7)).collect()}
+    fit = {r.doc_id: r.n_chars for r in token_counts.longest_within(tables, F.lit(5)).collect()}
+    for i, t in enumerate(texts):
+        assert at[i] == n_tokens(library, (t or "")[:7])
+        assert fit[i] == max(k for k in range(len(t or "") + 1) if n_tokens(library, (t or "")[:k]) <= 5)
 
 
 def test_token_query(spark, sf, library):
@@ -73,7 +111,7 @@ def test_token_cases(spark, library):
     assert all(n_tokens(library, cut[i]) <= 50 for i in range(len(texts)))
     assert cut[0] is None and cut[4] == "a"
     tables = {r.doc_id: r for r in token_counts.prefix_tables(df, PATH).collect()}
-    assert tables[0].ends == [] and tables[5].tokens == [1, 2]
+    assert tables[0].tokens == [] and len(tables[5].tokens) == len(texts[5]) + 1 and tables[5].tokens[-1] == 2
     assert token_counts.token_counts(df.limit(0), PATH).count() == 0
 
 
