@@ -1,4 +1,9 @@
-"""A corpus pipeline of the text operators; each stage is written and read again."""
+"""A corpus pipeline of the text operators; each stage is written and read again.
+
+All stages but the last keep the columns of documents, take them by name, and
+pass other columns on, whatever they are called. Texts may be of any length. An
+empty table runs through all stages and stays empty.
+"""
 
 from __future__ import annotations
 
@@ -10,28 +15,39 @@ from blockweave.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    Null and empty texts have no words and go; null languages and sources are
+    groups of their own; repeated rows go or stay alike.
+    """
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line of the corpus, up to two edits, are cut out; documents left empty by that go."""
+    """Lines that repeat an earlier line of the corpus are cut out; documents left empty by that go.
+
+    Lines of 30 characters and more count as equal up to two edits, shorter ones
+    where they are equal. Documents without repeated lines stay as they are.
+    """
     out = lines.dedup_lines(docs)
     return out.where("bw_dropped = 0 OR btrim(text) <> ''").drop("bw_dropped")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the smallest id stays."""
+    """Of each group of near copies (five words, 0.8) the smallest id stays.
+
+    Rows with a null id stay; of rows that repeat id and text one stays.
+    """
     return minhash.keep_one(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents mostly made of them go."""
+    """Benchmark passages are cut out; documents mostly made of them go. An empty benchmark changes nothing."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and sampled pieces of what is left."""
+    """doc_id, pieces and n_pieces of what is left: sampled segmentations that decode to the texts."""
     return pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
