@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.addressing import block_ranges, zeros
 
@@ -16,12 +16,6 @@ def split_blocks(files: DataFrame, block_size: int, id_col="file_id", data_col="
     return rows.select("file_id", "blk_idx", "len", piece.alias("data"))
 
 
-def joined(data: Column | str, order: Column | str) -> Column:
-    """Binary pieces put together in order, as an aggregate."""
-    pieces = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(data).alias("d"))))
-    return F.aggregate(pieces, F.lit(b""), lambda a, x: F.concat(a, x["d"]))
-
-
 def reassemble(blocks: DataFrame) -> DataFrame:
     """file_id, n_blocks, data of files whose blocks are all there."""
     return blocks.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.expr("listagg(data) WITHIN GROUP (ORDER BY blk_idx)").alias("data"))
@@ -52,4 +46,4 @@ def duplicate_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(F.md5("data").alias("digest")).agg(F.count(F.lit(1)).alias("copies"), F.countDistinct("file_id").alias("files")).where("copies > 1")
 
 
-__all__ = ["split_blocks", "reassemble", "read_ranges", "duplicate_blocks", "joined", "zeros"]
+__all__ = ["split_blocks", "reassemble", "read_ranges", "duplicate_blocks", "zeros"]

@@ -9,15 +9,23 @@ from ..functions.addressing import encode_micro_group, summary_bytes
 from .fold import fold_blocks, patches, surviving_writes
 
 
-def assign_checkpoints(ops: DataFrame, truncate_flushes: bool = True) -> DataFrame:
+def assign_checkpoints(ops: DataFrame, truncate_flushes: bool = True, stretch: int | None = None) -> DataFrame:
     """The operations other than flushes with cno, the checkpoint that persists them.
 
     A flush, and a truncate if so told, ends a checkpoint of its file.
-    Checkpoints without operations get no number.
+    Checkpoints without operations get no number. stretch splits a file's log
+    into stretches of so many seq values, counted on their own; only a row a
+    stretch, and one a checkpoint, are counted on over a whole file.
     """
     ends = (F.col("op") == "flush") | ((F.col("op") == "truncate") & F.lit(truncate_flushes))
-    before = F.coalesce(F.sum(ends.cast("int")).over(W.partitionBy("file_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    kept = ops.withColumn("bw_n", before).where("op <> 'flush'")
+    ops, keys = ops.withColumn("bw_end", ends.cast("int")), ["file_id"]
+    if stretch:
+        ops, keys = ops.withColumn("bw_part", F.call_function("div", F.col("seq"), F.lit(stretch))), ["file_id", "bw_part"]
+        per = ops.groupBy(*keys).agg(F.sum("bw_end").alias("n"))
+        earlier = W.partitionBy("file_id").orderBy("bw_part").rowsBetween(W.unboundedPreceding, -1)
+        ops = ops.join(per.select(*keys, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("bw_before")), keys)
+    own = F.coalesce(F.sum("bw_end").over(W.partitionBy(*keys).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kept = ops.withColumn("bw_n", own + F.col("bw_before") if stretch else own).where("op <> 'flush'").drop("bw_end", "bw_part", "bw_before")
     numbered = kept.select("file_id", "bw_n").distinct().withColumn("cno", F.row_number().over(W.partitionBy("file_id").orderBy("bw_n")).cast("long"))
     return kept.join(numbered, ["file_id", "bw_n"]).drop("bw_n")
 

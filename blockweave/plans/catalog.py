@@ -45,7 +45,7 @@ def numbered_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole log with cno: a flush at the end of every day that a file was written."""
     ops = event_ops(spark, sf_dir, zero=True, truncate=True).withColumn("seq", F.col("seq") * 2)
     flush = ops.select("file_id", "day").distinct().select("file_id", ((F.col("day") + 1) * DAY * 2 - 1).alias("seq"), F.lit("flush").alias("op"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("len"), F.lit(None).cast("binary").alias("data"), "day", F.lit(None).cast("long").alias("event_id"))
-    return snapshots.assign_checkpoints(ops.unionByName(flush), truncate_flushes=False)
+    return snapshots.assign_checkpoints(ops.unionByName(flush), truncate_flushes=False, stretch=60 * DAY)
 
 
 def digest(block_size: int) -> Column:
