@@ -173,9 +173,13 @@ SPANS = ArrayType(LongType())
 FOUND = [StructField("bw_spans", SPANS), StructField("bw_items", ArrayType(StringType())), StructField("bw_longest", LongType())]
 
 
-def block_matches(texts: DataFrame, block: DataFrame, window: int, schema: StructType):
-    """The columns of texts (..., bw_text last) with what one block of items has in each text; and the block's broadcast."""
-    broadcast = block.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])
+def send(block: DataFrame):
+    """A broadcast of one block of items, which is all of them that the driver holds at a time."""
+    return block.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in block.collect()])
+
+
+def block_matches(texts: DataFrame, broadcast, window: int, schema: StructType) -> DataFrame:
+    """The columns of texts (..., bw_text last) with what one block of items has in each text."""
 
     def make():
         index = _index(id(broadcast.value), broadcast, window)
@@ -187,7 +191,7 @@ def block_matches(texts: DataFrame, block: DataFrame, window: int, schema: Struc
 
         return step
 
-    return map_batches(texts, schema, make), broadcast
+    return map_batches(texts, schema, make)
 
 
 def match_items(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", window: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
@@ -202,12 +206,13 @@ def match_items(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="te
     df = docs.select(F.col(id_col).alias("bw_id"), F.col(text_col).cast("string").alias("bw_text"))
     blocks = item_blocks(items, item_id, item_text, block_bytes)
     if len(blocks) == 1:
-        return block_matches(df, blocks[0], window, StructType([*df.schema.fields, *FOUND]))[0]
+        return block_matches(df, send(blocks[0]), window, StructType([*df.schema.fields, *FOUND]))
     spark, at = docs.sparkSession, stage_dir(docs.sparkSession)
     print_ = lambda: (F.xxhash64("bw_text").alias("bw_h"), F.xxhash64("bw_text", F.lit(1)).alias("bw_g"))
     texts, parts = df.select(*print_(), "bw_text"), []
     for k, block in enumerate(blocks):
-        found, broadcast = block_matches(texts, block, window, StructType([*texts.schema.fields, *FOUND]))
+        broadcast = send(block)
+        found = block_matches(texts, broadcast, window, StructType([*texts.schema.fields, *FOUND]))
         parts.append(materialize(spark, found.where("bw_longest > 0").drop("bw_text"), at, f"block-{k}"))
         broadcast.destroy()
     every = functools.reduce(DataFrame.unionAll, parts).distinct()
@@ -268,30 +273,59 @@ def remove_spans(text: str, spans: list[int]) -> str:
     return b"".join([*out, data[kept:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", max_coverage: float = 0.5, **options) -> DataFrame:
+def without(text: str | None, spans: list[int], max_coverage: float) -> tuple[str | None, bool]:
+    """The text without its hit words, and whether they are so many that it goes altogether."""
+    hit = sum(spans[1::2]) - sum(spans[::2])
+    if not hit:
+        return text, False
+    if hit > max_coverage * len(words_of(text)):
+        return None, True
+    return remove_spans(text, spans), False
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", window: int = 10, max_coverage: float = 0.5, block_bytes: int = 1 << 20) -> DataFrame:
     """The documents without benchmark passages, with the columns they came with.
 
     All hit words are cut out of the text: windows, and whole items that have
     fewer words than a window. A document whose
     hit words are more than max_coverage of all its words goes altogether.
-    Documents without hits stay as they are, null texts included.
+    Documents without hits stay as they are, null texts included; repeated rows
+    are treated alike; an empty table stays empty.
     """
     names, own = docs.columns, docs.schema
-    packed = docs.select(F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in names]).alias("bw_row"))
-    matched = match_items(packed, items, id_col="bw_row", text_col=text_col, **options)
-
-    def make():
-        def step(batch):
-            texts, drop = batch.column(1).to_pylist(), []
-            for i, s in enumerate(batch.column(2).to_pylist()):
-                hit = sum(s[1::2]) - sum(s[::2])
-                drop.append(bool(hit) and hit > max_coverage * len(words_of(texts[i])))
-                if hit and not drop[-1]:
-                    texts[i] = remove_spans(texts[i], s)
-            return [batch.column(0), texts, drop]
-
-        return step
-
-    schema = StructType([StructField("bw_row", matched.schema["bw_id"].dataType), StructField("bw_text", StringType()), StructField("bw_drop", BooleanType())])
-    kept = map_batches(matched, schema, make).where("NOT bw_drop")
-    return kept.select(*[(F.col("bw_text").cast(own[c].dataType) if c == text_col else F.col(f"bw_row.`{c}`")).alias(c) for c in names])
+    at = names.index(text_col)
+    # by place, so that columns may have any name; each row passes once through one worker
+    rows = docs.select(*[(F.col(f"`{c}`").cast("string") if i == at else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)])
+    blocks = item_blocks(items, item_id, item_text, block_bytes)
+    if len(blocks) == 1:
+        broadcast = send(blocks[0])
+        schema = StructType([*rows.schema.fields, StructField("drop", BooleanType())])
+
+        def make():
+            index = _index(id(broadcast.value), broadcast, window)
+
+            def step(batch):
+                found = []
+                for text in batch.column(at).to_pylist():
+                    hits = index.match(words_of(text))[0]
+                    found.append(without(text, [x for pair in merge(hits) for x in pair], max_coverage))
+                columns = [[f[0] for f in found] if i == at else c for i, c in enumerate(batch.columns)]
+                return [*columns, [f[1] for f in found]]
+
+            return step
+    else:
+        packed = rows.select(F.col(f"c{at}"), F.struct(*rows.columns).alias("row"))
+        rows = match_items(packed, items, "row", f"c{at}", item_id, item_text, window, block_bytes)
+        schema = StructType([StructField("row", rows.schema["bw_id"].dataType), StructField("text", StringType()), StructField("drop", BooleanType())])
+
+        def make():
+            def step(batch):
+                found = [without(t, s, max_coverage) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                return [batch.column(0), [f[0] for f in found], [f[1] for f in found]]
+
+            return step
+
+    kept = map_batches(rows, schema, make).where("NOT drop")
+    if len(blocks) > 1:
+        kept = kept.select(*[F.col("text" if i == at else f"row.c{i}").alias(f"c{i}") for i in range(len(names))])
+    return kept.select(*[F.col(f"c{i}").cast(own[i].dataType).alias(c) for i, c in enumerate(names)])

@@ -97,6 +97,32 @@ def test_short_items_are_cut(spark):
     items = spark.createDataFrame([(1, "Which river is longest?"), (2, "one two three four five six seven eight nine")], "item_id long, text string")
     fill = " ".join(f"w{i}" for i in range(40))
     texts = [f"{fill}\nwhich River is longest {fill}", f"{fill} one two three four five six seven eight nine. {fill}", f"{fill} which river {fill}", None]
-    got = {x.doc_id: x.text for x in decontaminate.decontaminate(docs(spark, texts), items).collect()}
+    df = docs(spark, texts, drop="x", c1=2, row=3)
+    got = {x.doc_id: x.text for x in decontaminate.decontaminate(df, items).collect()}
+    blocks = decontaminate.decontaminate(df, items, block_bytes=30)
+    assert blocks.columns == df.columns and {x.doc_id: x.text for x in blocks.collect()} == got
     assert got[0].split() == [*fill.split(), *fill.split()] and "seven" not in got[1] and got[2] == texts[2] and got[3] is None
     assert not any(x.contaminated for x in decontaminate.contamination(docs(spark, list(got.values())), items).collect())
+
+
+def test_hard_tables(spark, tmp_path):
+    """Empty tables, nulls in any column, repeated rows and columns with clashing names."""
+    from pyspark.sql import functions as F
+
+    from util import hard_texts
+
+    texts = [*hard_texts(), *[" ".join(f"w{i}x{k}" for k in range(90)) for i in range(60)]]
+    df = docs(spark, texts, bw_row="a", bw_text="b", line=1, bucket=2, kept=False)
+    # null ids come first, so what they repeat of the others would go from these
+    nulls = df.where(f"doc_id < {len(texts) - 60}").withColumns({"doc_id": F.lit(None).cast("long"), "lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    for k, (rows, items) in enumerate([(df.limit(0), [(1, "a b c")]), (df.unionAll(df).unionAll(nulls), []), (df.unionAll(nulls), [(1, None), (None, "a b"), (2, texts[-1])])]):
+        at = f"{tmp_path}/{k}"
+        rows.write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        out = pipeline.run(spark, at)
+        back = pieces.decode(out, tokenizer_path("piece_bpe_32k.model")).collect()
+        clean = {x.doc_id: x.text for x in back if x.doc_id is not None}
+        want = {i: t for i, t in enumerate(texts) if i >= len(texts) - 60} if k else {}
+        if k == 2:
+            want.pop(len(texts) - 1)
+        assert {i: t for i, t in clean.items() if i >= len(texts) - 60} == want and len(back) == out.count()
