@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import BROADCAST_BYTES, discard, map_batches, materialize, small
+from .common import BROADCAST_BYTES, discard, map_batches, materialize, released, small
 from .graph import components
 
 #: Bytes that a row of ids takes in a broadcast table.
@@ -78,7 +78,7 @@ class Links:
                         found.append((xs[i], ys[i]))
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["x", "y"])
 
-        found = materialize(self.spark, joined.select("x", "y", "zx", "zy").mapInArrow(run, "x long, y long"), self.at, f"{name}-links")
+        found = materialize(self.spark, joined.select("x", "y", "zx", "zy").mapInArrow(released(run), "x long, y long"), self.at, f"{name}-links")
         discard(self.spark, self.at, [f"{name}-texts", f"{name}-ids"])
         return found
 

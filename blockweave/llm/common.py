@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,6 +19,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=1)
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library; its memory is its own affair
+        return None
+
+
+def release() -> None:
+    """Hands freed memory back to the system, as workers wait for their next task with all they ever held."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None and hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, for mapInArrow, with release() once a task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def map_batches(
     df: DataFrame, schema: StructType, make: Callable[[], Callable[[pa.RecordBatch], Iterable[list]]]
 ) -> DataFrame:
@@ -36,7 +66,7 @@ def map_batches(
                 columns = [pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c for c, f in zip(step(batch), target)]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import materialize, small, stage_dir
+from .common import materialize, released, small, stage_dir
 from .urls import host_of
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
@@ -415,4 +415,4 @@ def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html"
             yield flush()
 
     rows = rows.select(id_col, url_col, "bw_html", "bw_host", "bw_group", "bw_h")
-    return rows.repartition("bw_host", "bw_group").sortWithinPartitions("bw_host", "bw_group", "bw_h").mapInArrow(run, schema)
+    return rows.repartition("bw_host", "bw_group").sortWithinPartitions("bw_host", "bw_group", "bw_h").mapInArrow(released(run), schema)

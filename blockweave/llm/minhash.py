@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .blocking import ID_BYTES, Links, equal_codes, link_in_buckets, pack_codes, shared_buckets
-from .common import discard, map_batches, materialize, small, stage_dir
+from .common import discard, map_batches, materialize, released, small, stage_dir
 
 BANDS, ROWS = 40, 5
 #: Multipliers of the splitmix64 finalizer, and the golden-ratio increment.
@@ -163,7 +163,7 @@ def shingle_rows(texts: DataFrame, size: int) -> DataFrame:
                     part = own[a : a + 100_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i, np.int64)), pa.array(part)], names=["id", "shingle"])
 
-    return texts.select("bw_id", "z").mapInArrow(run, "id long, shingle long")
+    return texts.select("bw_id", "z").mapInArrow(released(run), "id long, shingle long")
 
 
 def rare_prefixes(rest: DataFrame, codes: DataFrame, links: Links, size: int, percent: int, at: str) -> DataFrame:
@@ -224,11 +224,12 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int
     links = Links(spark, fetch, set_test(size, percent), at)
     refine = lambda rest: rare_prefixes(rest, codes, links, size, percent, at)
     comps = link_in_buckets(buckets, fits, links, at, 2, refine, fine, reach, rounds)
-    linked = classes.select("bw_set", "id", "low").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    lows = linked.groupBy("component").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("k"))
-    # components of one class need no join
-    lows = lows.where("k > 1").select("component", "least")
-    reached = linked.join(lows, "component", "left").select("bw_set", F.coalesce("least", "low").alias("bw_least"))
+    linked = classes.select("id", "low").join(small(comps.select(F.col("node").alias("id"), "component"), ID_BYTES), "id")
+    linked = materialize(spark, linked, at, "linked")
+    lows = materialize(spark, linked.groupBy("component").agg(F.min("low").alias("least")), at, "lows")
+    # a component may hold most of the linked classes
+    least = materialize(spark, linked.join(small(lows, 2 * ID_BYTES), "component").select("id", "least"), at, "least")
+    reached = classes.select("bw_set", "id", "low").join(small(least, 2 * ID_BYTES), "id", "left").select("bw_set", F.coalesce("least", "low").alias("bw_least"))
     reached = materialize(spark, reached, at, "reached")
     discard(spark, at, keep=("sketches", "reached"))
     joined = own.select("bw_id", "bw_n", "bw_set", "bw_print").join(reached, "bw_set", "left")

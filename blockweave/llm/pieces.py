@@ -33,7 +33,7 @@ MARK = "▁"
 #: Units of up to so many code points are worked on side by side, in tables of these widths; longer ones alone.
 WIDTHS = (1, 2, 4, 8, 16, 32, 64)
 #: Numbers that a table may hold.
-TABLE = 1 << 21
+TABLE = 1 << 20
 #: Code points of a longer unit that are held at a time.
 STRETCH = 1 << 14
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)

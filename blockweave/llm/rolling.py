@@ -10,7 +10,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
 #: Code points that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Multipliers of the splitmix64 finalizer.
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
