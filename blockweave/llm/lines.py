@@ -112,6 +112,12 @@ def parities(text: str) -> tuple[int, int]:
     return low, high
 
 
+def odd_letters(text: str) -> int:
+    """Which of 64 classes of characters occur an odd number of times; one edit changes at most two."""
+    codes = code_points(text)
+    return int(np.packbits(np.bincount((codes * np.uint32(0x9E3779B1)) >> np.uint32(26), minlength=64).astype(np.uint8) & 1).view(np.int64)[0])
+
+
 def edit_test(t: int):
     def make():
         return lambda text: text, lambda a, b: within(a, b, t)
@@ -260,31 +266,42 @@ def line_texts(rows: DataFrame, least: int, bits: int) -> DataFrame:
 
 
 def line_prints(lines: DataFrame) -> DataFrame:
-    """id, n: length and parities of each line (bw_id, bw_text)."""
-    schema = StructType([StructField("id", LongType()), StructField("len", LongType()), StructField("low", LongType()), StructField("high", LongType())])
+    """id, n: length, parities and odd letters of each line (bw_id, bw_text)."""
+    schema = StructType([StructField(c, LongType()) for c in ("id", "len", "low", "high", "odd")])
 
     def make():
         def step(batch):
             bodies = batch.column(1).to_pylist()
             found = [parities(b) for b in bodies]
-            return [batch.column(0), [len(b) for b in bodies], [p[0] for p in found], [p[1] for p in found]]
+            return [batch.column(0), [len(b) for b in bodies], [p[0] for p in found], [p[1] for p in found], [odd_letters(b) for b in bodies]]
 
         return step
 
-    return map_batches(lines.select("bw_id", "bw_text"), schema, make).select("id", F.struct("len", "low", "high").alias("n"))
+    return map_batches(lines.select("bw_id", "bw_text"), schema, make).select("id", F.struct("len", "low", "high", "odd").alias("n"))
+
+
+def masks(t: int) -> list[tuple[int, int]]:
+    """The 4 * t + 1 parts of a print, as bits of its low and its high number."""
+    parts = 4 * t + 1
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [tuple(signed(sum(1 << b for b in range(64) if (b + 64 * half) % parts == k)) for half in (0, 1)) for k in range(parts)]
 
 
 def print_parts(rest: DataFrame, t: int) -> DataFrame:
-    """bucket, id, n, size, comp: the rows of rest cut up by parts of their prints.
+    """bucket, id, n, size, comp: the rows of rest cut up by parts of their prints; n tells the part.
 
     Prints of lines within distance t differ in at most 4 * t bits, so that of
     4 * t + 1 parts one at least is the same.
     """
-    parts = 4 * t + 1
-    masks = [(sum(1 << b for b in range(64) if b % parts == k), sum(1 << b for b in range(64) if (b + 64) % parts == k)) for k in range(parts)]
-    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
-    keys = [F.xxhash64("bucket", F.lit(k), F.col("n.low").bitwiseAND(signed(a)), F.col("n.high").bitwiseAND(signed(b))) for k, (a, b) in enumerate(masks)]
-    return rest.select(F.explode(F.array(*keys)).alias("bucket"), "id", "n", F.col("n.len").alias("size"), "comp")
+    keys = [F.struct(F.xxhash64("bucket", F.lit(k), F.col("n.low").bitwiseAND(F.lit(a)), F.col("n.high").bitwiseAND(F.lit(b))).alias("key"), F.lit(k).alias("part")) for k, (a, b) in enumerate(masks(t))]
+    cut = rest.select(F.explode(F.array(*keys)).alias("p"), "id", "n", "comp")
+    return cut.select(F.col("p.key").alias("bucket"), "id", F.struct("n.len", "n.low", "n.high", "n.odd", "p.part").alias("n"), F.col("n.len").alias("size"), "comp")
+
+
+def first_common_part(t: int) -> str:
+    """SQL for: the part in n is the first that the prints n and m share, so that a pair meets once a bucket."""
+    cases = " ".join(f"WHEN (n.low ^ m.low) & {a}L = 0 AND (n.high ^ m.high) & {b}L = 0 THEN {k}" for k, (a, b) in enumerate(masks(t)))
+    return f"n.part = CASE {cases} END"
 
 
 def told_apart(names: DataFrame, at: str) -> tuple[DataFrame, DataFrame | None]:
@@ -324,9 +341,9 @@ def line_links(rows: DataFrame, new: DataFrame | None, t: int, least: int, bits:
     texts = materialize(spark, texts.select(F.col("id").alias("bw_id"), F.col("body").alias("bw_text")).dropDuplicates(["bw_id"]), at, "texts")
     buckets = buckets.select("bucket", "id", "c").distinct().join(line_prints(texts), "id")
     buckets = materialize(spark, buckets, at, "printed")
-    fits = F.expr(f"abs(n.len - m.len) <= {int(t)} AND bit_count(n.low ^ m.low) + bit_count(n.high ^ m.high) <= {4 * int(t)}")
+    close = f"abs(n.len - m.len) <= {int(t)} AND bit_count(n.odd ^ m.odd) <= {2 * int(t)} AND bit_count(n.low ^ m.low) + bit_count(n.high ^ m.high) <= {4 * int(t)}"
     links = Links(spark, lambda ids: texts.join(ids, "bw_id", "left_semi"), edit_test(t), at)
-    return link_in_buckets(buckets, fits, links, at, 1, lambda rest: print_parts(rest, t), fits, rounds=rounds)
+    return link_in_buckets(buckets, F.expr(close), links, at, 1, lambda rest: print_parts(rest, t), F.expr(f"{close} AND {first_common_part(t)}"), rounds=rounds, refine_again=True)
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, t: int, edit_chars: int, least: int, rounds: int, at: str, bits: int = 63) -> DataFrame:

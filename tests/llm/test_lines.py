@@ -37,6 +37,7 @@ def test_parities_bound_the_distance(a, edits):
     (p, q), (r, s) = lines.parities(a), lines.parities(b)
     bits = ((p ^ r) & (2**64 - 1)).bit_count() + ((q ^ s) & (2**64 - 1)).bit_count()
     assert bits <= 4 * distance(a, b)
+    assert ((lines.odd_letters(a) ^ lines.odd_letters(b)) & (2**64 - 1)).bit_count() <= 2 * distance(a, b)
 
 
 @settings(max_examples=300, deadline=None)
