@@ -343,8 +343,9 @@ class BlockStore:
             cuts = ops.where("op = 'truncate'").groupBy("file_id").agg(F.min("offset").alias("cut"))
             least = cuts.select("file_id", F.call_function("div", F.col("cut") + self.block_size - 1, F.lit(self.block_size)).alias("from_blk"))
             least.write.parquet(f"{at}/truncations")
-            # the block that a truncate cuts through keeps its head only
-            edges = cuts.where(F.col("cut") % self.block_size != 0).select("file_id", F.lit(-(1 << 61)).cast("long").alias("seq"), F.lit("write_zero").alias("op"), F.col("cut").alias("offset"), (F.lit(self.block_size) - F.col("cut") % self.block_size).alias("len"), F.lit(None).cast("binary").alias("data"))
+            # a block with data that a truncate cuts through keeps its head only; what is a hole stays one
+            edges = cuts.where(F.col("cut") % self.block_size != 0).withColumn("blk_idx", F.call_function("div", "cut", F.lit(self.block_size)))
+            edges = edges.join(head.versions(keys=edges).where("kind = 'data'"), ["file_id", "blk_idx"], "left_semi").select("file_id", F.lit(-(1 << 61)).cast("long").alias("seq"), F.lit("write_zero").alias("op"), F.col("cut").alias("offset"), (F.lit(self.block_size) - F.col("cut") % self.block_size).alias("len"), F.lit(None).cast("binary").alias("data"))
             writes = fold.surviving_writes(ops).select(*[f.name for f in OPS.fields])
             parts = fold.patches(writes.unionByName(edges), self.block_size)
             held = head.blocks(keys=parts).join(least, "file_id", "left").where("from_blk IS NULL OR blk_idx < from_blk OR blk_idx = from_blk - 1")

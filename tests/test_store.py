@@ -272,3 +272,15 @@ def test_reads_are_pruned(spark, store):
     assert reads == []  # known records are not read again
     assert store.exists("commits/0000000001") and not store.exists("commits/0000000009")
     assert store.objects("data").where("path LIKE '%segments%parquet' AND bytes > 0").count() >= 2
+
+
+def test_a_cut_makes_no_blocks(spark, store):
+    """A truncate inside a block that holds nothing leaves a hole, as folding the log in one batch does."""
+    kept = lambda: sorted((r.file_id, r.blk_idx, r.kind) for r in store.blocks().collect())
+    first = [(1, 0, "write", 20, 4, b"abcd"), (1, 1, "truncate", 5, 0, None), (2, 0, "truncate", 21, 0, None), (3, 0, "write", 0, 4, b"abcd"), (3, 1, "truncate", 2, 0, None), (4, 0, "truncate", 9, 0, None), (4, 1, "write", 3, 2, b"xy")]
+    store.apply(spark.createDataFrame(first, OPS))
+    assert kept() == [(3, 0, "data"), (4, 0, "data")]
+    second = [(2, 2, "truncate", 3, 0, None), (3, 2, "truncate", 1, 0, None), (4, 2, "truncate", 35, 0, None), (5, 0, "truncate", 7, 0, None)]
+    store.apply(spark.createDataFrame(second, OPS))
+    assert kept() == [(3, 0, "data"), (4, 0, "data")]
+    assert whole(store) == {1: bytes(5), 2: bytes(3), 3: b"a", 4: bytes(3) + b"xy" + bytes(30), 5: bytes(7)}
