@@ -6,7 +6,7 @@ may be alike, and a test on the whole texts confirms it.
 First every row is compared with one row only: the hub of one of its buckets,
 the member that meets most others. Groups of copies nearly always fall into one
 component by that. Buckets that still mix components are cut up by keys that
-every link must share (rare shingles in order, parts of a line's print), and
+every link must share (rare shingles in order, a line's letters of some groups), and
 only pairs of different components that meet in such a key, and that its
 bounds allow, are listed and compared.
 """
@@ -143,7 +143,6 @@ def link_in_buckets(
     within_reach: Column | None = None,
     rounds: int = 2,
     few: int = 4,
-    refine_again: bool = False,
 ) -> DataFrame:
     """node, component: the components of all confirmed links inside buckets (bucket, id, n, c).
 
@@ -156,9 +155,7 @@ def link_in_buckets(
 
     Of a finer bucket only pairs with a row outside its most frequent component
     are listed. While these would be more than a few times the rows, up to so
-    many rounds, rows are compared with hubs again. With refine_again, for a
-    refine that costs little, the rows of rest get their new components and
-    are refined anew, rather than the more numerous finer rows.
+    many rounds, rows are compared with hubs again.
     """
     spark = buckets.sparkSession
 
@@ -196,11 +193,7 @@ def link_in_buckets(
         found = links.confirm(materialize(spark, hub_pairs(heavy, fits_fine), at, f"hubs-{k}"), f"hubs-{k}")
         edges = edges.unionAll(found)
         comps = joined(edges, str(k))
-        if refine_again:
-            rest = materialize(spark, placed(rest, comps), at, f"rest-{k}")
-            fine = materialize(spark, refine(rest), at, f"placed-{k}")
-        else:
-            fine = materialize(spark, placed(fine.select("bucket", "id", "n", "size"), comps), at, f"placed-{k}")
+        fine = materialize(spark, placed(fine.select("bucket", "id", "n", "size"), comps), at, f"placed-{k}")
     a = fine.where("comp <> main").select("bucket", F.col("id").alias("x"), "n", "comp")
     b = fine.select("bucket", F.col("id").alias("y"), F.col("n").alias("m"), F.col("comp").alias("comp_y"))
     pairs = a.join(b, "bucket").where("comp <> comp_y").where(fits_fine).select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()

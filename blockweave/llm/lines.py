@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .blocking import ID_BYTES, Links, link_in_buckets, shared_buckets
 from .common import BROADCAST_BYTES, discard, map_batches, materialize, small, stage_dir
@@ -99,17 +99,17 @@ def within(a: str, b: str, t: int) -> bool:
     return distance <= t
 
 
-def parities(text: str) -> tuple[int, int]:
-    """Which of 128 classes of neighbouring character pairs occur an odd number of times.
+def parities(text: str, longs: int = 2) -> tuple[int, ...]:
+    """Which of 64 * longs classes of neighbouring character pairs occur an odd number of times; longs is a power of two.
 
     One edit takes away or adds at most four pairs, so the prints of lines
     within distance t differ in at most 4 * t bits.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    classes = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)) >> np.uint32(25)
-    odd = np.packbits(np.bincount(classes, minlength=128).astype(np.uint8) & 1)
-    low, high = odd.view(np.int64).tolist()
-    return low, high
+    size = 64 * longs
+    classes = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)) >> np.uint32(33 - size.bit_length())
+    odd = np.packbits(np.bincount(classes, minlength=size).astype(np.uint8) & 1)
+    return tuple(odd.view(np.int64).tolist())
 
 
 def odd_letters(text: str) -> int:
@@ -280,28 +280,74 @@ def line_prints(lines: DataFrame) -> DataFrame:
     return map_batches(lines.select("bw_id", "bw_text"), schema, make).select("id", F.struct("len", "low", "high", "odd").alias("n"))
 
 
-def masks(t: int) -> list[tuple[int, int]]:
-    """The 4 * t + 1 parts of a print, as bits of its low and its high number."""
-    parts = 4 * t + 1
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [tuple(signed(sum(1 << b for b in range(64) if (b + 64 * half) % parts == k)) for half in (0, 1)) for k in range(parts)]
+#: What a letter's code is multiplied by before it is dealt to a group, so that frequent letters fall into different ones.
+DEAL = np.uint32(0x33EF6283)
+#: Code points of two groups that tell lines apart wherever they stand; fewer do so inside a bucket.
+ENOUGH = 12
+#: Longs of the print of a line that is listed in pairs.
+LONGS = 8
 
 
-def print_parts(rest: DataFrame, t: int) -> DataFrame:
-    """bucket, id, n, size, comp: the rows of rest cut up by parts of their prints; n tells the part.
+def group_pairs(t: int) -> list[tuple[int, int]]:
+    """Pairs of 2 * t + 3 groups of letters, of which two lines within distance t agree in one at least.
 
-    Prints of lines within distance t differ in at most 4 * t bits, so that of
-    4 * t + 1 parts one at least is the same.
+    An edit concerns the letters of two groups at most, so three groups at least
+    keep what a line holds of their letters, in order. The groups are in two
+    sets, and two of any three are in the same.
     """
-    keys = [F.struct(F.xxhash64("bucket", F.lit(k), F.col("n.low").bitwiseAND(F.lit(a)), F.col("n.high").bitwiseAND(F.lit(b))).alias("key"), F.lit(k).alias("part")) for k, (a, b) in enumerate(masks(t))]
-    cut = rest.select(F.explode(F.array(*keys)).alias("p"), "id", "n", "comp")
-    return cut.select(F.col("p.key").alias("bucket"), "id", F.struct("n.len", "n.low", "n.high", "n.odd", "p.part").alias("n"), F.col("n.len").alias("size"), "comp")
+    groups, half = 2 * t + 3, t + 2
+    return [(i, j) for i in range(groups) for j in range(i + 1, groups) if (i < half) == (j < half)]
 
 
-def first_common_part(t: int) -> str:
-    """SQL for: the part in n is the first that the prints n and m share, so that a pair meets once a bucket."""
-    cases = " ".join(f"WHEN (n.low ^ m.low) & {a}L = 0 AND (n.high ^ m.high) & {b}L = 0 THEN {k}" for k, (a, b) in enumerate(masks(t)))
-    return f"n.part = CASE {cases} END"
+def projections(text: str, t: int) -> tuple[list[int], list[int]]:
+    """Hashes of what a line holds of the letters of each of group_pairs(t): those of ENOUGH code points, and the others."""
+    codes = code_points(text)
+    group = (codes * DEAL >> np.uint32(8)) % np.uint32(2 * t + 3)
+    wide, narrow = [], []
+    for k, (i, j) in enumerate(group_pairs(t)):
+        held = codes[(group == i) | (group == j)]
+        digest = xxhash.xxh3_64_intdigest(held.tobytes(), seed=k)
+        (wide if len(held) >= ENOUGH else narrow).append(digest - (1 << 64) if digest >> 63 else digest)
+    return wide, narrow
+
+
+def line_projections(lines: DataFrame, t: int) -> DataFrame:
+    """id, wide, narrow, n: the projections of each line (bw_id, bw_text), and its length, longer parities and odd letters."""
+    kind, parts = ArrayType(LongType()), [f"p{k}" for k in range(LONGS)]
+    schema = StructType([StructField("id", LongType()), StructField("wide", kind), StructField("narrow", kind), *[StructField(c, LongType()) for c in ("len", "odd", *parts)]])
+
+    def make():
+        def step(batch):
+            bodies = batch.column(1).to_pylist()
+            found = [projections(b, t) for b in bodies]
+            prints = [(len(b), odd_letters(b), *parities(b, LONGS)) for b in bodies]
+            return [batch.column(0), [x[0] for x in found], [x[1] for x in found], *map(list, zip(*prints))]
+
+        return step
+
+    return map_batches(lines.select("bw_id", "bw_text"), schema, make).select("id", "wide", "narrow", F.struct("len", "odd", *parts).alias("n"))
+
+
+def close_prints(t: int, parts: list[str]) -> str:
+    """SQL for: lines with the prints n and m, of these longs, can be within distance t."""
+    bits = " + ".join(f"bit_count(n.{p} ^ m.{p})" for p in parts)
+    return f"abs(n.len - m.len) <= {int(t)} AND bit_count(n.odd ^ m.odd) <= {2 * int(t)} AND {bits} <= {4 * int(t)}"
+
+
+def by_projections(rest: DataFrame, texts: DataFrame, t: int, at: str) -> DataFrame:
+    """bucket, id, n, size, comp: the lines of rest by their projections, each line once however many buckets it is in.
+
+    Projections that are too short to tell lines apart count inside a bucket
+    only. n is the longer print, as many lines a few edits beyond t may meet.
+    """
+    held = texts.join(rest.select(F.col("id").alias("bw_id")).distinct(), "bw_id", "left_semi")
+    cuts = materialize(rest.sparkSession, line_projections(held, t), at, "projections")
+    lines = rest.select("id", "comp").dropDuplicates(["id"]).join(cuts.select("id", "n", "wide"), "id")
+    wide = lines.select(F.explode("wide").alias("bucket"), "id", "n", "comp")
+    short = rest.select("bucket", "id", "comp").join(cuts.where(F.size("narrow") > 0).select("id", "n", "narrow"), "id")
+    short = short.select("bucket", F.explode("narrow").alias("key"), "id", "n", "comp")
+    both = wide.unionAll(short.select(F.xxhash64("bucket", "key").alias("bucket"), "id", "n", "comp"))
+    return both.select("bucket", "id", "n", F.col("n.len").alias("size"), "comp")
 
 
 def told_apart(names: DataFrame, at: str) -> tuple[DataFrame, DataFrame | None]:
@@ -341,9 +387,9 @@ def line_links(rows: DataFrame, new: DataFrame | None, t: int, least: int, bits:
     texts = materialize(spark, texts.select(F.col("id").alias("bw_id"), F.col("body").alias("bw_text")).dropDuplicates(["bw_id"]), at, "texts")
     buckets = buckets.select("bucket", "id", "c").distinct().join(line_prints(texts), "id")
     buckets = materialize(spark, buckets, at, "printed")
-    close = f"abs(n.len - m.len) <= {int(t)} AND bit_count(n.odd ^ m.odd) <= {2 * int(t)} AND bit_count(n.low ^ m.low) + bit_count(n.high ^ m.high) <= {4 * int(t)}"
+    close, closer = (F.expr(close_prints(t, parts)) for parts in (["low", "high"], [f"p{k}" for k in range(LONGS)]))
     links = Links(spark, lambda ids: texts.join(ids, "bw_id", "left_semi"), edit_test(t), at)
-    return link_in_buckets(buckets, F.expr(close), links, at, 1, lambda rest: print_parts(rest, t), F.expr(f"{close} AND {first_common_part(t)}"), rounds=rounds, refine_again=True)
+    return link_in_buckets(buckets, close, links, at, 1, lambda rest: by_projections(rest, texts, t, at), closer, rounds=rounds)
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, t: int, edit_chars: int, least: int, rounds: int, at: str, bits: int = 63) -> DataFrame:

@@ -52,6 +52,19 @@ def test_probes_meet(a, edits, t):
         assert keys[0] & keys[1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abcdefghij é𝔘", max_size=60), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60), st.sampled_from("abxyzé")), max_size=3), st.integers(1, 3))
+def test_projections_meet(a, edits, t):
+    b = a
+    for kind, at, c in edits[:t]:
+        at %= len(b) + 1
+        b = b[:at] + (c if kind != 2 else "") + b[at + (kind != 1) :]
+    if distance(a, b) <= t:
+        (p, q), (r, s) = lines.projections(a, t), lines.projections(b, t)
+        assert set(p) & set(r) or set(q) & set(s)
+        assert sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(lines.parities(a, 8), lines.parities(b, 8))) <= 4 * t
+
+
 def plain_dedup(rows, t, least):
     entries = []
     for k, (doc, text) in enumerate(rows):
@@ -146,3 +159,39 @@ def test_buckets_of_many_lines_at_once():
     near = long[: 40_000] + "#" + long[40_000:]
     (p, _), (q, _) = prober.buckets([long]), prober.buckets(["x" * 40, near])
     assert set(p.tolist()) & set(q.tolist()) and not set(p.tolist()) & set(prober.buckets([long[::-1]])[0].tolist())
+
+
+def test_variants_that_are_not_linked(spark, monkeypatch):
+    """Lines that differ from one line by a word or some letters each, all beyond two edits, make few rows and pairs."""
+    from blockweave.llm import blocking
+
+    r = random.Random(11)
+    words = ["".join(r.choice("etaoinshrdlucm") for _ in range(r.randrange(2, 9))) for _ in range(60)]
+
+    def variant():
+        out, at = list(words), r.randrange(len(words))
+        out[at] = "".join(r.choice("etaoinshrdlucm") for _ in range(6)) if r.random() < 0.5 else out[at] + "".join(r.choice("abcdhilmn") for _ in range(4))
+        return " ".join(out)
+
+    texts = [variant() for _ in range(240)]
+    texts += [x[:40] + "#" + x[41:] for x in texts[:20]]  # and some that are linked
+    sizes = {}
+
+    def counted(session, df, at, name):
+        out = plain(session, df, at, name)
+        if name.startswith(("fine", "placed-", "rest")):
+            sizes[name] = out.count()
+        return out
+
+    plain = blocking.materialize
+    monkeypatch.setattr(blocking, "materialize", counted)
+    got = {x.doc_id: x.text for x in lines.dedup_lines(docs(spark, texts)).collect()}
+    assert sizes["fine"] <= 9 * len(texts), sizes
+    assert sizes.get("rest", 0) <= len(texts) ** 2 // 40, sizes  # of the 33,670 pairs
+    first = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if first[i] != first[j] and lines.within(texts[j], a, 2):
+                low, high = sorted((first[i], first[j]))
+                first = [low if x == high else x for x in first]
+    assert got == {i: x if first[i] == i else "" for i, x in enumerate(texts)}
